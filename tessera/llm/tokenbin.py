@@ -13,6 +13,8 @@ are exceptions, kept whole in the list, with zeros in the packed part. Numbers a
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import struct
 import zlib
@@ -96,59 +98,66 @@ def segment_docs(data: bytes) -> np.ndarray:
 class Encoder:
     """Ids (u32, as bytes) of texts under a byte-level BPE tokenizer file of the tokenizers library.
 
-    The pre-tokenizer always cuts before a space that stands between two characters that aren't white space, so such a text
-    is encoded as its pieces at these spaces. Pieces come from a table (emptied when full); new pieces of a batch are encoded
-    together, one a line: their ids are the library's, whatever the order. Any other text is given to the library whole.
+    The pre-tokenizer always cuts before a space, and around a line end, that stands alone between other characters, so a text
+    without two white-space characters in a row is encoded as its pieces at these places. Pieces come from a table, which
+    when full becomes the older of two generations; the new pieces of some texts are encoded together, one a line: their ids are the library's, whatever the
+    order. Any other text is given to the library whole.
     """
 
-    odd = re.compile(r" \s|\s ")
-    many, together = 300_000, 8_000
+    odd = re.compile(r"\s\s")
+    many, together = 600_000, 8_000
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        line = self.tokenizer.encode_batch_fast(["\n", "x\n x\n x"], add_special_tokens=False)
-        self.line = line[0].ids[0]
-        #: Whether a lone newline is one id that ends each line.
-        self.lines = len(line[0].ids) == 1 and line[1].ids.count(self.line) == 2
-        self.rejoins = b"".join(self._whole(x) for x in ("a's", " b,", " 12")) == self._whole("a's b, 12")
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.line = self._whole("\n")
+        #: Whether the tokenizer cuts as said.
+        self.cuts = len(self.line) == 4 and self._whole("a's b,\n12 x") == b"".join(map(self._whole, ("a's", " b,", "\n", "12", " x")))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if self.lines and p.find("\n") < 0 and p.find("<|") < 0 and p.strip()]
-        for p in set(pieces).difference(plain):
-            self.known[p] = self._whole(p) if p else b""
+        """Special tokens may be in any piece: one that has "<|" is encoded alone, as is one of other white space."""
+        plain = [p for p in pieces if "<|" not in p and not p.isspace()]
+        if len(plain) < len(pieces):
+            for p in set(pieces).difference(plain):
+                self.known[p] = self._whole(p)
+        end = int.from_bytes(self.line, "little")
         for i in range(0, len(plain), self.together):
             own = plain[i : i + self.together]
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(own)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.line)
+            ends = np.flatnonzero(ids == end)
             if len(ends) != len(own) - 1:
-                for p in own:
-                    self.known[p] = self._whole(p)
+                self.known.update((p, self._whole(p)) for p in own)
                 continue
-            data, at = ids.tobytes(), 0
-            for p, end in zip(own, (*(4 * ends).tolist(), len(data)), strict=True):
-                self.known[p] = data[at:end]
-                at = end + 4
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        known = self.known
-        for text in texts:
-            if not self.rejoins or self.odd.search(text):
-                yield self._whole(text)
-                continue
-            first, *rest = text.split(" ")
-            pieces = [first, *[" " + x for x in rest]]
-            if new := [p for p in set(pieces) if p not in known]:
-                if len(known) + len(new) > self.many:
-                    known.clear()
-                    new = list(set(pieces))
-                self._learn(new)
-            yield b"".join([known[p] for p in pieces])
+            data = ids.tobytes()
+            stops = [*(4 * ends).tolist(), len(data)]
+            self.known.update(zip(own, [data[a:b] for a, b in zip([0, *[x + 4 for x in stops[:-1]]], stops, strict=True)], strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Meant for a few hundred texts at a time."""
+        cut = [None if not self.cuts or self.odd.search(t) else [x.replace(" ", "\0 ").split("\0") for x in t.split("\n")] if "\0" not in t else None for t in texts]
+        need = set().union(*[line for lines in cut if lines for line in lines])
+        new = [p for p in need if p not in self.known]
+        if new:
+            if len(self.known) + len(new) > self.many:
+                self.older, self.known = self.known, {"": b""}
+                new = list(need)
+            self.known.update((p, self.older[p]) for p in new if p in self.older)
+            self._learn([p for p in new if p not in self.known])
+        get = self.known.__getitem__
+        return [self._whole(t) if lines is None else self.line.join([b"".join(map(get, line)) for line in lines]) for t, lines in zip(texts, cut, strict=True)]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One to a process: its table serves all tasks that run there."""
+    return Encoder(path)
 
 
 SEGMENT = "part int, seq int, n_docs long, n_ids long, payload binary"
@@ -164,7 +173,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id",
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode_all, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = struct.pack("<I", end_id)
         keys: list[int | None] = []
         held: list[bytes] = []
@@ -178,7 +187,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id",
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
-                for k, ids in zip(rows.column(0).to_pylist(), encoder([x or "" for x in rows.column(1).to_pylist()]), strict=True):
+                for k, ids in zip(rows.column(0).to_pylist(), encode_all([x or "" for x in rows.column(1).to_pylist()]), strict=True):
                     keys.append(k)
                     held.append(ids + end)
                     size += len(ids) // 4 + 1

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -99,12 +98,12 @@ class Encoder:
     """Ids (u32, as bytes) of texts under a byte-level BPE tokenizer file of the tokenizers library.
 
     The pre-tokenizer always cuts before a space, and around a line end, that stands alone between other characters, so a text
-    without two white-space characters in a row is encoded as its pieces at these places. Pieces come from a table, which
-    when full becomes the older of two generations; the new pieces of some texts are encoded together, one a line: their ids are the library's, whatever the
-    order. Any other text is given to the library whole.
+    without two white-space characters in a row is encoded as its words: the first of each line, and the others with the
+    space before them. Words come from two tables; a full table becomes the older of two generations. The new words of some
+    texts are encoded together, one a line: their ids are the library's, whatever the order. A word that is empty or has white
+    space at an end is None in the table, and its text is given to the library whole.
     """
 
-    odd = re.compile(r"\s\s")
     many, together = 600_000, 8_000
 
     def __init__(self, path: str):
@@ -112,8 +111,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        #: By what stands before the word: nothing, or a space.
+        self.known: dict[str, dict[str, bytes | None]] = {"": {}, " ": {}}
+        self.older: dict[str, dict[str, bytes | None]] = {"": {}, " ": {}}
         self.line = self._whole("\n")
         #: Whether the tokenizer cuts as said.
         self.cuts = len(self.line) == 4 and self._whole("a's b,\n12 x") == b"".join(map(self._whole, ("a's", " b,", "\n", "12", " x")))
@@ -121,37 +121,48 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Special tokens may be in any piece: one that has "<|" is encoded alone, as is one of other white space."""
-        plain = [p for p in pieces if "<|" not in p and not p.isspace()]
-        if len(plain) < len(pieces):
-            for p in set(pieces).difference(plain):
-                self.known[p] = self._whole(p)
-        end = int.from_bytes(self.line, "little")
-        for i in range(0, len(plain), self.together):
-            own = plain[i : i + self.together]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(own)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == end)
+    def _learn(self, before: str, need: set[str]) -> None:
+        known, older = self.known[before], self.older[before]
+        new = need.difference(known)
+        if len(known) + len(new) > self.many:
+            self.older[before], self.known[before] = known, {}
+            known, older, new = self.known[before], known, need
+        if again := [w for w in new if w in older]:
+            known.update((w, older[w]) for w in again)
+            new = new.difference(again)
+        if edges := [w for w in new if not w or w[0].isspace() or w[-1].isspace()]:
+            known.update(dict.fromkeys(edges))
+            new = new.difference(edges)
+        # special tokens may be in any word
+        if alone := [w for w in new if "<|" in w]:
+            known.update((w, self._whole(before + w)) for w in alone)
+            new = new.difference(alone)
+        words, end, between = list(new), int.from_bytes(self.line, "little"), "\n" + before
+        for i in range(0, len(words), self.together):
+            own = words[i : i + self.together]
+            ids = np.array(self.tokenizer.encode_batch_fast([before + between.join(own)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * np.flatnonzero(ids == end)
             if len(ends) != len(own) - 1:
-                self.known.update((p, self._whole(p)) for p in own)
+                known.update((w, self._whole(before + w)) for w in own)
                 continue
             data = ids.tobytes()
-            stops = [*(4 * ends).tolist(), len(data)]
-            self.known.update(zip(own, [data[a:b] for a, b in zip([0, *[x + 4 for x in stops[:-1]]], stops, strict=True)], strict=True))
+            known.update(zip(own, map(data.__getitem__, map(slice, [0, *(ends + 4).tolist()], [*ends.tolist(), len(data)])), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Meant for a few hundred texts at a time."""
-        cut = [None if not self.cuts or self.odd.search(t) else [x.replace(" ", "\0 ").split("\0") for x in t.split("\n")] if "\0" not in t else None for t in texts]
-        need = set().union(*[line for lines in cut if lines for line in lines])
-        new = [p for p in need if p not in self.known]
-        if new:
-            if len(self.known) + len(new) > self.many:
-                self.older, self.known = self.known, {"": b""}
-                new = list(need)
-            self.known.update((p, self.older[p]) for p in new if p in self.older)
-            self._learn([p for p in new if p not in self.known])
-        get = self.known.__getitem__
-        return [self._whole(t) if lines is None else self.line.join([b"".join(map(get, line)) for line in lines]) for t, lines in zip(texts, cut, strict=True)]
+        if not self.cuts:
+            return [self._whole(t) for t in texts]
+        cut = [[x.split(" ") for x in t.split("\n")] for t in texts]
+        self._learn("", {line[0] for lines in cut for line in lines})
+        self._learn(" ", set().union(*[line for lines in cut for line in lines]))
+        first, later = self.known[""].__getitem__, self.known[" "].__getitem__
+        out = []
+        for t, lines in zip(texts, cut, strict=True):
+            try:
+                out.append(self.line.join([b"".join([first(line[0]), *map(later, line[1:])]) for line in lines]))
+            except TypeError:
+                out.append(self._whole(t))
+        return out
 
 
 @functools.lru_cache(maxsize=2)

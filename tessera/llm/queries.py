@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, pii, secrets, sharding, tokenbin
+from . import chat, packing, pii, quality, secrets, sharding, tokenbin
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(*chat.expand(turns))
 
 
+def op4_language_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.measure(table(spark, sf_dir, "documents"))
+
+
 def op6_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_supervision": op1_weak_supervision,
     "op3_prefix_targets": op3_prefix_targets,
+    "op4_language_divergence": op4_language_divergence,
     "op6_length_packing": op6_length_packing,
     "op7_token_blocks": op7_token_blocks,
     "op9_hash_tree_shards": op9_hash_tree_shards,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ngram_join, packing, pii, quality, secrets, sharding, tokenbin
+from . import chat, decontam, ngram_join, packing, pii, quality, secrets, sharding, tokenbin
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op4_language_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_adaptive_prefixes": op2_adaptive_prefixes,
     "op3_prefix_targets": op3_prefix_targets,
     "op4_language_divergence": op4_language_divergence,
+    "op5_simhash_windows": op5_simhash_windows,
     "op6_length_packing": op6_length_packing,
     "op7_token_blocks": op7_token_blocks,
     "op9_hash_tree_shards": op9_hash_tree_shards,

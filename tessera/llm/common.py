@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -29,11 +30,19 @@ def scratch(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
-def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and lost executors lose nothing."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def cut(df: DataFrame, name: str, codec: str = "zstd", release: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends there and lost executors lose nothing.
+
+    release: ask the driver's JVM for a garbage collection, on which Spark deletes shuffle files that nothing needs any more.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if release:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, ngram_join, packing, pii, quality, secrets, sharding, tokenbin
+from . import chat, decontam, ngram_join, packing, pii, quality, secrets, sharding, suffix_dedup, tokenbin
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read(tokenbin.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op8_suffix_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_windows": op5_simhash_windows,
     "op6_length_packing": op6_length_packing,
     "op7_token_blocks": op7_token_blocks,
+    "op8_suffix_ranges": op8_suffix_ranges,
     "op9_hash_tree_shards": op9_hash_tree_shards,
     "op10_blob_ledger": op10_blob_ledger,
 }

@@ -1,16 +1,20 @@
 """Self-join of documents by Jaccard similarity of word shingles, with adaptive multi-match prefixes.
 
-All shingles have one global order, by hash. Of a set with n shingles let t = ceil(percent * n / 100), the least overlap with
-any partner, and p = n - t + 1. Two partners share at least l of the first p + l - 1 shingles of each, for every l (with both
+All shingles have one global order. Of a set with n shingles let t = ceil(percent * n / 100), the least overlap with any
+partner, and p = n - t + 1. Two partners share at least l of the first p + l - 1 shingles of each, for every l (with both
 lengths cut at n), and at least the lesser l when their l differ. So a longer prefix must have more shared shingles.
 
 A prefix shingle that few documents have is light, else heavy; only light ones are looked up. With h heavy ones in its prefix
 a document with h < l still shares a light one with each partner of like or greater l. Each document takes, of some l that
 allow this, the one with the least estimated cost: pairs that its light lists make, plus the verifications that l matches
-leave of them. Documents that are too heavy even at the longest prefix can only miss partners that are as heavy: these few go
-to the next level, with prefixes much longer, among themselves. What is left then is made of shared shingles almost wholly,
-mostly large groups of near copies: there each list first is compared with one of its documents, twice, and only documents
-of lists that are still in different components are compared with each other.
+leave of them. The first level orders shingles by hash, so that prefixes are all it needs to hold. Documents that are too
+heavy for it can only miss partners that are as heavy: these go to the second level, among themselves and with whole sets,
+where rare shingles come first. What is too heavy even there has hardly a light shingle: large groups of near copies.
+
+Of these each list of a heavy prefix shingle is compared with its most central document b only. Let D(x) be the shingles that
+either x or b has, but not both. Then x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles, so if they are linked and
+D(x) and D(y) share nothing, both are linked with b. What is left to compare are pairs of which one isn't linked with b and
+whose D share one of their rarest; as x and y differ in n / 9 shingles at most (at 90 percent), so many of D(x) plus one do.
 """
 
 from __future__ import annotations
@@ -57,13 +61,20 @@ def similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
-def probe(sets: DataFrame, percent: int, more: float, light: int) -> tuple[DataFrame, DataFrame]:
-    """One level over sets (id, n, toks: at least the longest prefix). Returns (pairs a < b to verify, heavy documents: id, n,
-    heavy: the heavy shingles of the longest prefix)."""
-    longest = prefix(F.col("n"), percent, more)
-    rows = sets.select("id", "n", F.posexplode(F.slice("toks", F.lit(1), longest)).alias("rank", "token"))
+def probe(sets: DataFrame, percent: int, more: float, light: int, rarity: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One level over sets (id, n, toks): pairs a < b to verify, and documents too heavy for it: id, n, light (how many light
+    shingles are in what was looked at), heavy (the heavy ones of the shortest prefix).
+
+    toks holds at least the longest prefix by hash; with rarity it is the whole set, and rare shingles come first.
+    """
+    span = F.col("n") if rarity else prefix(F.col("n"), percent, more)
+    rows = sets.select("id", "n", F.posexplode(F.slice("toks", F.lit(1), span)).alias("rank", "token"))
     freq = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     shared = rows.join(freq, "token").groupBy("id", "n").agg(F.collect_list(F.struct("rank", "token", "df")).alias("toks"))
+    if rarity:
+        # shingles of one document come before all these
+        rare = F.sort_array(F.transform("toks", lambda x: F.struct(x["df"], x["token"])))
+        shared = shared.withColumn("toks", F.transform(rare, lambda x, i: F.struct((F.col("n") - F.size("toks") + i).alias("rank"), x["token"].alias("token"), x["df"].alias("df"))))
 
     def plan(step: float) -> Column:
         size, l = prefix(F.col("n"), percent, step), matches(F.col("n"), percent, step)
@@ -83,15 +94,19 @@ def probe(sets: DataFrame, percent: int, more: float, light: int) -> tuple[DataF
     chosen = shared.withColumn("plans", F.array(*[plan(s) for s in steps])).withColumn("last", F.col("plans")[len(steps) - 1])
     chosen = chosen.withColumn("odd", F.col("last")["h"] >= fewest)
     chosen = chosen.select("id", "n", "toks", "odd", F.when(F.col("odd"), F.col("last")).otherwise(F.array_min("plans")).alias("plan"))
-    chosen = cut(chosen, "prefixes", "lz4")
     own = F.filter("toks", lambda x: (x["rank"] < F.col("plan")["size"]) & (x["df"] <= light))
-    looked = chosen.select("id", "n", F.col("plan")["l"].alias("l"), F.col("plan")["h"].alias("h"), F.explode(F.transform(own, lambda x: x["token"])).alias("token"))
+    heavy = F.filter("toks", lambda x: (x["df"] > light) & (x["rank"] < shortest(F.col("n"), percent)))
+    kept = chosen.select(
+        "id", "n", "odd", F.col("plan")["l"].alias("l"), F.col("plan")["h"].alias("h"), F.transform(own, lambda x: x["token"]).alias("own"), F.when(F.col("odd"), F.transform(heavy, lambda x: x["token"])).alias("heavy"),
+        (F.col("n") - F.size(F.filter("toks", lambda x: x["df"] > light))).alias("light"),
+    ).where(F.col("odd") | (F.size("own") > 0))
+    kept = cut(kept, "prefixes", "lz4", release=True)
+    looked = kept.select("id", "n", "l", "h", F.explode("own").alias("token"))
     a, b = looked.alias("a"), looked.alias("b")
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & similar_sizes(F.col("a.n"), F.col("b.n"), percent))
     counted = met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("a.l", "b.l")).alias("l"), F.min(F.least("a.h", "b.h")).alias("h"))
     pairs = counted.where(F.col("c") + F.col("h") >= F.col("l")).select("a", "b")
-    heavy = chosen.where("odd").select("id", "n", F.transform(F.filter("toks", lambda x: x["df"] > light), lambda x: x["token"]).alias("heavy"))
-    return pairs, heavy
+    return pairs, kept.where("odd").select("id", "n", "light", "heavy")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -102,15 +117,6 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", shared.alias("i")).where((100 + percent) * F.col("i") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def stars(lists: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
-    """Pairs of each list's documents with one document of the list, where their components differ."""
-    at = lists.join(roots, lists["id"] == roots["node"], "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
-    hub = F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("root").alias("root")))
-    hubs = at.groupBy("token").agg(hub.alias("hub"))
-    met = at.join(hubs, "token").where((F.col("root") != F.col("hub.root")))
-    return met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb")).distinct()
-
-
 def join(docs: DataFrame, size: int = 3, percent: int = 90, light: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Components of the documents under links of Jaccard similarity percent / 100 or more, by whole texts.
 
@@ -122,21 +128,21 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, light: int = 64, key
     are written; shingles of whole sets are made again for the documents of pairs only. Components are computed by contraction.
     """
     slim = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # the first level's longest prefix, of half p more
-    first, second = 0.5, 3.0
+    # the levels' longest prefixes: so many p more
+    first, second = 0.5, 1.0
     made = slim.select("id", let(shingles(F.col("text"), size), lambda s: F.struct(F.size(s).alias("n"), F.xxhash64(s).alias("f"), F.xxhash64(F.reverse(s)).alias("g"), F.slice(s, F.lit(1), F.greatest(F.lit(1), prefix(F.size(s), percent, first))).alias("toks"))).alias("s"))
     held = cut(made.select("id", "s.*"), "sets", "lz4")
     classes = cut(held.where("n > 0").groupBy("n", "f", "g").agg(F.min("id").alias("rep")), "classes")
     reps = held.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "toks")
 
     pairs, odd = probe(reps, percent, first, light)
-    pairs, odd = cut(pairs, "pairs"), cut(odd, "odd")
+    pairs, odd = cut(pairs, "pairs", release=True), cut(odd, "odd")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(odd.select("id")).distinct()
     whole = slim.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", shingles(F.col("text"), size).alias("toks")).select("id", F.size("toks").alias("n"), "toks")
-    whole = cut(whole, "whole", "lz4")
+    whole = cut(whole, "whole", "lz4", release=True)
     edges = cut(verify(pairs, whole, percent), "links")
     if not odd.isEmpty():
-        again, rest = probe(whole.join(odd.select("id"), "id", "left_semi"), percent, second, light)
+        again, rest = probe(whole.join(odd.select("id"), "id", "left_semi"), percent, second, light, rarity=True)
         again, rest = cut(again, "pairs"), cut(rest, "odd")
         edges = cut(edges.union(verify(again, whole, percent)), "links")
         if not rest.isEmpty():
@@ -151,14 +157,31 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, light: int = 64, key
 
 
 def _groups(rest: DataFrame, edges: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Links among documents whose lists are long: by stars, then between components that share a list."""
-    lists = cut(rest.select("id", "n", F.explode("heavy").alias("token")), "lists")
-    for seed in (1, 2, 3):
-        found = stars(lists, components(edges), seed).where(similar_sizes(F.col("na"), F.col("nb"), percent)).select("a", "b")
-        edges = cut(edges.union(verify(cut(found, "pairs"), whole, percent)), "links")
-    at = lists.join(components(edges), lists["id"] == F.col("node"), "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
-    several = at.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("token")
-    at = cut(at.join(several, "token", "left_semi"), "lists")
-    a, b = at.alias("a"), at.alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & similar_sizes(F.col("a.n"), F.col("b.n"), percent))
-    return cut(edges.union(verify(cut(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "pairs"), whole, percent)), "links")
+    """Links among documents whose lists are long (id, n, light, heavy): with a central document of each list, then by differences."""
+    lists = rest.select("id", "n", "light", F.explode("heavy").alias("token"))
+    hubs = lists.groupBy("token").agg(F.min(F.struct("light", F.xxhash64("id").alias("h"), "id")).alias("hub"))
+    pairs = cut(lists.join(hubs, "token").select("id", F.col("hub.id").alias("hub")).distinct().where("id != hub"), "stars")
+    sets = whole.select("id", "n", "toks")
+    met = pairs.join(sets, "id").join(sets.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("toks").alias("hub_toks")), "hub")
+    signed = F.concat(F.transform(F.array_except("toks", "hub_toks"), lambda t: F.struct(F.lit(1).alias("side"), t.alias("token"))), F.transform(F.array_except("hub_toks", "toks"), lambda t: F.struct(F.lit(0).alias("side"), t.alias("token"))))
+    differ = met.select("hub", "id", "n", "hub_n", signed.alias("d"))
+    # |x & b| = (|x| + |b| - |D|) / 2
+    linked = (100 + percent) * (F.col("n") + F.col("hub_n") - F.size("d")) >= 2 * percent * (F.col("n") + F.col("hub_n"))
+    differ = cut(differ.select("hub", "id", "n", "d", linked.alias("linked")), "differences", "lz4")
+    edges = cut(edges.union(differ.where("linked").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))), "links")
+
+    roots = components(edges)
+    rows = differ.select("hub", "id", F.explode("d").alias("s")).select("hub", "id", "s.side", "s.token")
+    rarity = rows.groupBy("hub", "side", "token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    ranked = rows.join(rarity, ["hub", "side", "token"]).groupBy("hub", "id").agg(F.sort_array(F.collect_list(F.struct("df", "side", "token"))).alias("d"))
+    held = ranked.join(differ.select("hub", "id", "n", "linked", F.size("d").alias("size")), ["hub", "id"]).join(roots, F.col("id") == F.col("node"), "left")
+    # partners differ in this many shingles at most: n of the greater set is n * 100 / percent
+    most = F.floor(F.col("n") * (100 - percent) / percent).cast("int")
+    # shingles that only this document differs in come first
+    room = F.greatest(F.lit(0), F.least(F.col("size"), most + 1) - (F.col("size") - F.size("d")))
+    short = cut(held.select("hub", "id", "n", "linked", F.coalesce("root", "id").alias("root"), F.explode(F.slice("d", F.lit(1), room)).alias("s")).select("hub", "id", "n", "linked", "root", "s.side", "s.token"), "rarest")
+    a, b = short.where("not linked").alias("a"), short.alias("b")
+    same = (F.col("a.hub") == F.col("b.hub")) & (F.col("a.side") == F.col("b.side")) & (F.col("a.token") == F.col("b.token"))
+    found = a.join(b, same & (F.col("a.root") != F.col("b.root")) & similar_sizes(F.col("a.n"), F.col("b.n"), percent))
+    found = cut(found.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct(), "pairs")
+    return cut(edges.union(verify(found, whole, percent)), "links")

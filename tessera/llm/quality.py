@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 
 from .common import BLANK, cut, let, words
 
-# The classes of characters; what none of them takes counts as the last.
-CLASSES = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "blank": BLANK, "mark": "[.,;:!?'\"()-]", "symbol": r"[#*$%&|<>@=_/\\^~`+{}\[\]]", "control": r"[\x00-\x08\x0E-\x1F\x7F]"}
+# Classes of characters that are counted one by one; blanks and lower-case letters a-z follow from the rest.
+CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "mark": "[.,;:!?'\"()-]", "symbol": r"[#*$%&|<>@=_/\\^~`+{}\[\]]", "control": r"[\x00-\x08\x0E-\x1F\x7F]", "other": r"[^\x00-\x7F]"}
+#: Classes of a histogram: these, blanks, lower-case letters.
+WIDTH = len(CLASSES) + 2
 
 
 @dataclass(frozen=True)
@@ -21,7 +23,7 @@ class Limits:
     document is rejected over a Jensen-Shannon distance (0 to 1, square root of the divergence in bits)."""
 
     common: int = 24
-    common_chars: int = 6
+    common_chars: int = 4
     least_chars: int = 200
     least_words: int = 50
     least_docs: int = 20
@@ -65,19 +67,25 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def class_counts(text: Column) -> Column:
-    """Characters of each class, those of no class last."""
-    counts = [F.length(F.regexp_replace(text, f"[^{c[1:-1]}]+", "")) for c in CLASSES.values()]
-    own = F.array(*counts)
-    return let(own, lambda c: F.concat(c, F.array(F.length(text) - F.aggregate(c, F.lit(0), lambda a, x: a + x)))).cast("array<long>")
+def class_counts(text: Column, rest: Column, in_words: Column) -> Column:
+    """Characters of each class, then blanks and lower-case letters. rest: the text without letters a-z and spaces, which holds
+    all the others and is short; in_words: characters in words."""
+    counts = [F.length(rest) - F.length(F.regexp_replace(rest, f"{c}+", "")) for c in CLASSES.values()]
 
+    def whole(c: Column) -> Column:
+        return F.concat(c, F.array(F.length(text) - in_words, in_words - F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)))
 
-def common_counts(own: Column, listed: Column) -> Column:
-    """How often each word of the list is among the words, lower-cased; all other words last. Null without a list."""
-    places = F.transform(own, lambda w: F.array_position(listed, F.lower(w)).cast("int"))
+    return let(F.array(*counts).cast("array<long>"), whole).cast("array<long>")
+
+
+def common_counts(own: Column, listed: Column, longest: int) -> Column:
+    """How often each word of the list, of up to `longest` characters, is among the words, lower-cased; all other words last.
+    Null without a list."""
+    short = F.filter(own, lambda w: F.length(w) <= longest)
+    places = F.filter(F.transform(short, lambda w: F.array_position(listed, F.lower(w)).cast("int")), lambda p: p > 0)
 
     def count(p: Column) -> Column:
-        return F.concat(F.transform(F.sequence(F.lit(1), F.size(listed)), lambda k: F.size(p) - F.size(F.array_remove(p, k))), F.array(F.size(p) - F.size(F.array_remove(p, F.lit(0)))))
+        return F.concat(F.transform(F.sequence(F.lit(1), F.size(listed)), lambda k: F.size(p) - F.size(F.array_remove(p, k))), F.array(F.size(own) - F.size(p)))
 
     return F.when(listed.isNotNull() & (F.size(listed) > 0), let(places, count)).cast("array<long>")
 
@@ -127,18 +135,20 @@ def measure(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", tex
     def counted(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            repeated_words(w).alias("n_repeat_words"), common_counts(w, F.col("_list")).alias("common"),
+            repeated_words(w).alias("n_repeat_words"), common_counts(w, F.col("_list"), limits.common_chars).alias("common"),
         )
 
+    held = held.withColumn("_rest", F.regexp_replace("_text", r"[a-z\x20]+", ""))
     features = held.select(
-        "_key", "_lang", let(words(F.col("_text")), counted).alias("w"), F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        duplicate_lines(F.col("_text")).alias("n_dup_lines"), class_counts(F.col("_text")).alias("classes"),
-    ).select("_key", "_lang", "w.*", "n_symbols", "n_dup_lines", "classes")
+        "_key", "_lang", "_text", "_rest", let(words(F.col("_text")), counted).alias("w"), F.length(F.regexp_replace("_rest", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        duplicate_lines(F.col("_text")).alias("n_dup_lines"),
+    )
+    features = features.select("_key", "_lang", "w.*", "n_symbols", "n_dup_lines", class_counts(F.col("_text"), F.col("_rest"), F.col("w.word_chars")).alias("classes"))
     features = cut(features, "features")
-    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(limits.common + 1)]
+    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(WIDTH)] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(limits.common + 1)]
     totals = features.groupBy("_lang").agg(*sums)
     references = totals.select(
-        F.col("_lang").alias("_own"), F.array(*[F.col(f"c{i}") for i in range(len(CLASSES) + 1)]).alias("_classes"), F.array_compact(F.array(*[F.col(f"w{i}") for i in range(limits.common + 1)])).alias("_common")
+        F.col("_lang").alias("_own"), F.array(*[F.col(f"c{i}") for i in range(WIDTH)]).alias("_classes"), F.array_compact(F.array(*[F.col(f"w{i}") for i in range(limits.common + 1)])).alias("_common")
     ).join(F.broadcast(lists.select(F.col("_lang").alias("_own"))), "_own", "left_semi")
     far = features.join(F.broadcast(references), F.col("_lang").eqNullSafe(F.col("_own")), "left")
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)

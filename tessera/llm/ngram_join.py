@@ -71,35 +71,42 @@ def probe(sets: DataFrame, percent: int, more: float, light: int, rarity: bool =
     rows = sets.select("id", "n", F.posexplode(F.slice("toks", F.lit(1), span)).alias("rank", "token"))
     freq = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     shared = rows.join(freq, "token").groupBy("id", "n").agg(F.collect_list(F.struct("rank", "token", "df")).alias("toks"))
-    if rarity:
-        # shingles of one document come before all these
-        rare = F.sort_array(F.transform("toks", lambda x: F.struct(x["df"], x["token"])))
-        shared = shared.withColumn("toks", F.transform(rare, lambda x, i: F.struct((F.col("n") - F.size("toks") + i).alias("rank"), x["token"].alias("token"), x["df"].alias("df"))))
+    fewest = matches(least_overlap(F.col("n"), percent), percent, more)
+    steps = sorted({0.0, more / 4, more / 2, more})
 
-    def plan(step: float) -> Column:
+    def weigh(toks: Column, step: float) -> Column:
         size, l = prefix(F.col("n"), percent, step), matches(F.col("n"), percent, step)
-        own = F.filter("toks", lambda x: x["rank"] < size)
 
-        def weigh(x: Column) -> Column:
+        def cost(x: Column) -> Column:
             h = F.size(F.filter(x, lambda y: y["df"] > light))
             pairs = F.aggregate(x, F.lit(0.0), lambda acc, y: acc + F.when(y["df"] <= light, (y["df"] - 1).cast("double")).otherwise(0.0))
             # at most pairs / l documents have l matches; each verification reads n shingles
-            cost = F.when(h < l, pairs * (1 + F.col("n") / 8 / l)).otherwise(float("inf"))
-            return F.struct(cost.alias("cost"), size.alias("size"), l.alias("l"), h.alias("h"))
+            return F.struct(F.when(h < l, pairs * (1 + F.col("n") / 8 / l)).otherwise(float("inf")).alias("cost"), size.alias("size"), l.alias("l"), h.alias("h"))
 
-        return let(own, weigh)
+        return let(F.filter(toks, lambda x: x["rank"] < size), cost)
 
-    steps = sorted({0.0, more / 4, more / 2, more})
-    fewest = matches(F.floor((F.col("n") * percent + 99) / 100).cast("int"), percent, more)
-    chosen = shared.withColumn("plans", F.array(*[plan(s) for s in steps])).withColumn("last", F.col("plans")[len(steps) - 1])
-    chosen = chosen.withColumn("odd", F.col("last")["h"] >= fewest)
-    chosen = chosen.select("id", "n", "toks", "odd", F.when(F.col("odd"), F.col("last")).otherwise(F.array_min("plans")).alias("plan"))
-    own = F.filter("toks", lambda x: (x["rank"] < F.col("plan")["size"]) & (x["df"] <= light))
-    heavy = F.filter("toks", lambda x: (x["df"] > light) & (x["rank"] < shortest(F.col("n"), percent)))
-    kept = chosen.select(
-        "id", "n", "odd", F.col("plan")["l"].alias("l"), F.col("plan")["h"].alias("h"), F.transform(own, lambda x: x["token"]).alias("own"), F.when(F.col("odd"), F.transform(heavy, lambda x: x["token"])).alias("heavy"),
-        (F.col("n") - F.size(F.filter("toks", lambda x: x["df"] > light))).alias("light"),
-    ).where(F.col("odd") | (F.size("own") > 0))
+    def choose(toks: Column) -> Column:
+        def take(odd: Column, plan: Column) -> Column:
+            own = F.filter(toks, lambda x: (x["rank"] < plan["size"]) & (x["df"] <= light))
+            heavy = F.filter(toks, lambda x: (x["df"] > light) & (x["rank"] < shortest(F.col("n"), percent)))
+            return F.struct(
+                odd.alias("odd"), plan["l"].alias("l"), plan["h"].alias("h"), F.transform(own, lambda x: x["token"]).alias("own"), F.when(odd, F.transform(heavy, lambda x: x["token"])).alias("heavy"),
+                (F.col("n") - F.size(F.filter(toks, lambda x: x["df"] > light))).alias("light"),
+            )
+
+        def decide(plans: Column) -> Column:
+            odd = plans[len(steps) - 1]["h"] >= fewest
+            return let(F.struct(odd.alias("odd"), F.when(odd, plans[len(steps) - 1]).otherwise(F.array_min(plans)).alias("plan")), lambda c: take(c["odd"], c["plan"]))
+
+        return let(F.array(*[weigh(toks, s) for s in steps]), decide)
+
+    def by_rarity(toks: Column) -> Column:
+        # shingles of one document come before all these
+        first = F.col("n") - F.size(toks)
+        return let(F.sort_array(F.transform(toks, lambda x: F.struct(x["df"], x["token"]))), lambda r: F.transform(r, lambda x, i: F.struct((first + i).alias("rank"), x["token"].alias("token"), x["df"].alias("df"))))
+
+    plan = let(by_rarity(F.col("toks")), choose) if rarity else choose(F.col("toks"))
+    kept = shared.select("id", "n", plan.alias("plan")).select("id", "n", "plan.*").where(F.col("odd") | (F.size("own") > 0))
     kept = cut(kept, "prefixes", "lz4", release=True)
     looked = kept.select("id", "n", "l", "h", F.explode("own").alias("token"))
     a, b = looked.alias("a"), looked.alias("b")

@@ -170,7 +170,8 @@ def removed(raw: list[bytes], ids: np.ndarray, starts: np.ndarray) -> tuple[np.n
 
 
 BUCKET = "bucket int, payload binary"
-FLAG = "t64 long, at array<int>"
+FLAG = "bucket int, payload binary"
+PLACES = "t64 long, at array<int>"
 CONTEXT = "lead long, raw binary, off int, id long, t64 long, start int"
 SPAN = "id long, t64 long, start int, stop int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -223,27 +224,57 @@ def _deal(buckets: int):
     return deal
 
 
-def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a range of buckets, by text the places of anchors whose gram is in another text too."""
-    keys, hashes, places = [], [], []
+def _flag(buckets: int):
+    """Of some buckets of grams, the places of anchors whose gram is in another text too; dealt again, by text."""
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, hashes, places = [], [], []
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                docs, n = (int(x) for x in np.frombuffer(data, np.uint32, 2))
+                hashes.append(np.repeat(_back(data, 8, docs, "<i8"), _back(data, 8 + 8 * docs, docs, "<u4")))
+                keys.append(_back(data, 8 + 12 * docs, n, "<u4").astype(np.uint64) | np.uint64(bucket << 32))
+                places.append(_back(data, 8 + 12 * docs + 4 * n, n, "<u4"))
+        if not keys:
+            return
+        key, t64, place = np.concatenate(keys), np.concatenate(hashes), np.concatenate(places)
+        del keys, hashes, places
+        order = np.argsort(key, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        several = np.minimum.reduceat(t64[order], heads) != np.maximum.reduceat(t64[order], heads)
+        kept = order[np.repeat(several, np.diff(np.append(heads, len(order))))]
+        if not len(kept):
+            return
+        t64, place = t64[kept], place[kept]
+        to = (t64.view(np.uint64) >> np.uint64(16)) % np.uint64(buckets)
+        order = np.argsort(to, kind="stable")
+        stops = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
+        names, out = [], []
+        for b, (x, y) in enumerate(zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)):
+            if x < y:
+                own = order[x:y][np.argsort(t64[order[x:y]], kind="stable")]
+                new = np.flatnonzero(np.concatenate([[True], t64[own][1:] != t64[own][:-1]]))
+                counts = np.diff(np.append(new, y - x)).astype(np.uint32)
+                names.append(b)
+                out.append(np.array([len(new), y - x], np.uint32).tobytes() + _turned(t64[own][new]) + _turned(counts) + _turned(place[own]))
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(names, pa.int32()), "payload": pa.array(out, pa.binary())})
+
+    return flag
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of some buckets of texts, each text's flagged places in order, once."""
+    hashes, places = [], []
     for batch in batches:
-        for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for data in batch.column(1).to_pylist():
             docs, n = (int(x) for x in np.frombuffer(data, np.uint32, 2))
             hashes.append(np.repeat(_back(data, 8, docs, "<i8"), _back(data, 8 + 8 * docs, docs, "<u4")))
-            keys.append(_back(data, 8 + 12 * docs, n, "<u4").astype(np.uint64) | np.uint64(bucket << 32))
-            places.append(_back(data, 8 + 12 * docs + 4 * n, n, "<u4").astype(np.int32))
-    if not keys:
-        return
-    key, t64, place = np.concatenate(keys), np.concatenate(hashes), np.concatenate(places)
-    del keys, hashes, places
-    order = np.argsort(key, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-    several = np.minimum.reduceat(t64[order], heads) != np.maximum.reduceat(t64[order], heads)
-    kept = order[np.repeat(several, np.diff(np.append(heads, len(order))))]
-    if not len(kept):
+            places.append(_back(data, 8 + 12 * docs, n, "<u4").astype(np.int32))
+    if not hashes:
         return
-    kept = kept[np.lexsort((place[kept], t64[kept]))]
-    t64, place = t64[kept], place[kept]
+    t64, place = np.concatenate(hashes), np.concatenate(places)
+    order = np.lexsort((place, t64))
+    t64, place = t64[order], place[order]
     once = np.concatenate([[True], (t64[1:] != t64[:-1]) | (place[1:] != place[:-1])])
     t64, place = t64[once], place[once]
     heads = np.flatnonzero(np.concatenate([[True], t64[1:] != t64[:-1]]))
@@ -261,7 +292,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(i, 1000)
             ids, hashes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             texts = [x.encode() for x in batch.column(2).to_pylist()]
-            flagged = np.concatenate([(n << 40) + np.sort(np.asarray(at, np.int64)) for n, at in enumerate(batch.column(3).to_pylist())])
+            lists = batch.column(3)
+            flagged = (np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False)) << 40) + lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             for data, at, first, last, own, place, _ in anchors(texts):
                 key = (own << 40) + place + at - first
                 spot = np.minimum(np.searchsorted(flagged, key), len(flagged) - 1)
@@ -355,8 +387,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     first = cut(heads.groupBy("sha").agg(F.min(F.struct("id", "t64")).alias("f")).select("sha", "f.id", "f.t64"), "first")
 
     dealt = slim.where(F.octet_length("text") >= LENGTH).select("t64", "text").mapInArrow(_deal(buckets), BUCKET)
-    flags = cut(dealt.repartition(buckets, "bucket").mapInArrow(_flag, FLAG), "flags", release=True)
-    wanted = flags.groupBy("t64").agg(F.flatten(F.collect_list("at")).alias("at")).join(first.select("t64", "id"), "t64")
+    flags = dealt.repartition(buckets, "bucket").mapInArrow(_flag(buckets), FLAG)
+    places = cut(flags.repartition(buckets, "bucket").mapInArrow(_gather, PLACES), "places", release=True)
+    wanted = places.join(first.select("t64", "id"), "t64")
     held = slim.join(wanted, ["id", "t64"]).select("id", "t64", "text", "at").mapInArrow(_contexts, CONTEXT)
     contexts = cut(held, "contexts", release=True)
     spans = cut(contexts.repartitionByRange(buckets, "lead").mapInArrow(_resolve, SPAN), "spans", release=True)

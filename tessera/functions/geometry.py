@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,19 +77,25 @@ def encode_wkb(parts: list[list[list[tuple[float, float]]]]) -> bytes:
     return b"".join(out)
 
 
+ARROW = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+
+
 def from_blob(blob: Column, srs: int) -> Column:
     """MULTIPOLYGON of a GeoPackage blob, in Arrow batches; a malformed blob fails the job."""
-    @F.pandas_udf(MULTIPOLYGON)
-    def decode(blobs: pd.Series) -> pd.Series:
-        return blobs.map(lambda b: None if b is None else [[[{"x": x, "y": y} for x, y in ring] for ring in part] for part in decode_blob(bytes(b), srs)])
+
+    @F.arrow_udf(MULTIPOLYGON)
+    def decode(blobs: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else [[[{"x": x, "y": y} for x, y in ring] for ring in part] for part in decode_blob(b, srs)] for b in blobs.to_pylist()], ARROW)
 
     return decode(blob)
 
 
 def to_wkb(parts: Column) -> Column:
-    @F.pandas_udf("binary")
-    def encode(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda m: None if m is None else encode_wkb([[[(p["x"], p["y"]) for p in ring] for ring in part] for part in m]))
+    """ISO WKB of a MULTIPOLYGON, in Arrow batches."""
+
+    @F.arrow_udf("binary")
+    def encode(rows: pa.Array) -> pa.Array:
+        return pa.array([None if m is None else encode_wkb([[[(p["x"], p["y"]) for p in ring] for ring in part] for part in m]) for m in rows.to_pylist()], pa.binary())
 
     return encode(parts)
 

@@ -26,7 +26,7 @@ from .common import cut
 
 LENGTH, GRAM = 50, 16
 STRINGS = LENGTH - GRAM + 1
-PIECE = 1 << 21
+PIECE = 1 << 19
 ODD = np.uint64(0x9E3779B97F4A7C15)
 NONE = -(1 << 63)
 
@@ -207,17 +207,19 @@ def _deal(buckets: int):
                     counts = np.diff(np.append(new, y - x)).astype(np.uint32)
                     head = np.array([len(new), y - x], np.uint32).tobytes()
                     names.append(b)
-                    out.append(head + _turned(t64[own][new]) + _turned(counts) + _turned(h[own].astype(np.uint32)) + _turned(place[own].astype(np.uint32)))
+                    out.append(head + _turned(t64[own][new]) + _turned(counts) + _turned(h[own].astype(np.uint32)) + _turned(place[own]))
             return pa.RecordBatch.from_pydict({"bucket": pa.array(names, pa.int32()), "payload": pa.array(out, pa.binary())})
 
-        for batch in batches:
-            hashes = batch.column(0).to_numpy(zero_copy_only=False)
-            for _, at, first, _, own, place, h in anchors([x.encode() for x in batch.column(1).to_pylist()]):
-                held.append((hashes[own], place + at - first, h))
-                size += len(at)
-                if size > 1_000_000:
-                    yield flush()
-                    held, size = [], 0
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                hashes = batch.column(0).to_numpy(zero_copy_only=False)
+                for _, at, first, _, own, place, h in anchors([x.encode() for x in batch.column(1).to_pylist()]):
+                    held.append((hashes[own], (place + at - first).astype(np.uint32), h))
+                    size += len(at)
+                    if size > 1_000_000:
+                        yield flush()
+                        held, size = [], 0
         if held:
             yield flush()
 

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,10 +99,10 @@ class Encoder:
     """Ids (u32, as bytes) of texts under a byte-level BPE tokenizer file of the tokenizers library.
 
     The pre-tokenizer always cuts before a space, and around a line end, that stands alone between other characters, so a text
-    without two white-space characters in a row is encoded as its words: the first of each line, and the others with the
-    space before them. Words come from two tables; a full table becomes the older of two generations. The new words of some
-    texts are encoded together, one a line: their ids are the library's, whatever the order. A word that is empty or has white
-    space at an end is None in the table, and its text is given to the library whole.
+    without two white-space characters in a row is encoded as its words, each with the space or the line end before it. Arrow
+    splits texts, lists their distinct words and gathers the words' ids. Words come from a table; a full one becomes the older
+    of two generations. New words are encoded together, one a line: their ids are the library's, whatever the order. A word
+    that is empty or has white space at an end is None in the table, and its text is given to the library whole.
     """
 
     many, together = 600_000, 8_000
@@ -111,9 +112,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: By what stands before the word: nothing, or a space.
-        self.known: dict[str, dict[str, bytes | None]] = {"": {}, " ": {}}
-        self.older: dict[str, dict[str, bytes | None]] = {"": {}, " ": {}}
+        self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         self.line = self._whole("\n")
         #: Whether the tokenizer cuts as said.
         self.cuts = len(self.line) == 4 and self._whole("a's b,\n12 x") == b"".join(map(self._whole, ("a's", " b,", "\n", "12", " x")))
@@ -121,48 +121,55 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, before: str, need: set[str]) -> None:
-        known, older = self.known[before], self.older[before]
-        new = need.difference(known)
-        if len(known) + len(new) > self.many:
-            self.older[before], self.known[before] = known, {}
-            known, older, new = self.known[before], known, need
-        if again := [w for w in new if w in older]:
-            known.update((w, older[w]) for w in again)
-            new = new.difference(again)
-        if edges := [w for w in new if not w or w[0].isspace() or w[-1].isspace()]:
-            known.update(dict.fromkeys(edges))
-            new = new.difference(edges)
-        # special tokens may be in any word
-        if alone := [w for w in new if "<|" in w]:
-            known.update((w, self._whole(before + w)) for w in alone)
-            new = new.difference(alone)
-        words, end, between = list(new), int.from_bytes(self.line, "little"), "\n" + before
+    def _learn(self, new: list[str]) -> None:
+        """Words, with a line end before them or else a space that is left out."""
+        known, lines = self.known, {}
+        for w in new:
+            core = w[1:] if w[:1] == "\n" else w
+            if not core or core[0].isspace() or core[-1].isspace():
+                known[w] = None
+            elif "<|" in core:  # special tokens may be in any word
+                known[w] = self.line + self._whole(core) if w[0] == "\n" else self._whole(" " + w)
+            else:
+                lines[w] = core if w[0] == "\n" else " " + w
+        words, end = list(lines), int.from_bytes(self.line, "little")
         for i in range(0, len(words), self.together):
             own = words[i : i + self.together]
-            ids = np.array(self.tokenizer.encode_batch_fast([before + between.join(own)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([lines[w] for w in own])], add_special_tokens=False)[0].ids, "<u4")
             ends = 4 * np.flatnonzero(ids == end)
             if len(ends) != len(own) - 1:
-                known.update((w, self._whole(before + w)) for w in own)
-                continue
-            data = ids.tobytes()
-            known.update(zip(own, map(data.__getitem__, map(slice, [0, *(ends + 4).tolist()], [*ends.tolist(), len(data)])), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Meant for a few hundred texts at a time."""
+                parts = [self._whole(lines[w]) for w in own]
+            else:
+                data = ids.tobytes()
+                parts = list(map(data.__getitem__, map(slice, [0, *(ends + 4).tolist()], [*ends.tolist(), len(data)])))
+            known.update((w, self.line + x if w[0] == "\n" else x) for w, x in zip(own, parts, strict=True))
+
+    def _ids(self, words: list[str]) -> list[bytes | None]:
+        if new := [w for w in words if w not in self.known]:
+            if len(self.known) + len(new) > self.many:
+                self.older, self.known, new = self.known, {}, words
+            older = self.older
+            self.known.update((w, older[w]) for w in new if w in older)
+            self._learn([w for w in new if w not in self.known])
+        return list(map(self.known.__getitem__, words))
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Meant for some megabytes of texts at a time; null is empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
         if not self.cuts:
-            return [self._whole(t) for t in texts]
-        cut = [[x.split(" ") for x in t.split("\n")] for t in texts]
-        self._learn("", {line[0] for lines in cut for line in lines})
-        self._learn(" ", set().union(*[line for lines in cut for line in lines]))
-        first, later = self.known[""].__getitem__, self.known[" "].__getitem__
-        out = []
-        for t, lines in zip(texts, cut, strict=True):
-            try:
-                out.append(self.line.join([b"".join([first(line[0]), *map(later, line[1:])]) for line in lines]))
-            except TypeError:
-                out.append(self._whole(t))
-        return out
+            return [self._whole(t) for t in texts.to_pylist()]
+        marked = pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", pa.large_string()))
+        split = pc.split_pattern(marked, " ")
+        coded = split.flatten().dictionary_encode()
+        ids = self._ids(coded.dictionary.to_pylist())
+        bad = np.array([x is None for x in ids], bool)
+        taken = pa.array([x or b"" for x in ids], pa.large_binary()).take(coded.indices)
+        at = split.offsets.to_numpy().astype(np.int64)
+        stops = (np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[at] if len(taken) else at).tolist()
+        data = memoryview(taken.buffers()[2] or b"")
+        odd = (np.add.reduceat(bad[coded.indices.to_numpy()], at[:-1]) > 0).tolist() if bad.any() else [False] * len(texts)
+        # the line end that each text was given goes
+        return [self._whole(texts[i].as_py()) if odd[i] else bytes(data[stops[i] + 4 : stops[i + 1]]) for i in range(len(texts))]
 
 
 @functools.lru_cache(maxsize=2)
@@ -196,9 +203,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id",
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [len(keys)], "n_ids": [len(ids)], "payload": pa.array([payload], pa.binary())})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                for k, ids in zip(rows.column(0).to_pylist(), encode_all([x or "" for x in rows.column(1).to_pylist()]), strict=True):
+            for at in range(0, batch.num_rows, 2000):
+                rows = batch.slice(at, 2000)
+                for k, ids in zip(rows.column(0).to_pylist(), encode_all(rows.column(1)), strict=True):
                     keys.append(k)
                     held.append(ids + end)
                     size += len(ids) // 4 + 1

@@ -145,7 +145,8 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, light: int = 64, key
     pairs, odd = probe(reps, percent, first, light)
     pairs, odd = cut(pairs, "pairs", release=True), cut(odd, "odd")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(odd.select("id")).distinct()
-    whole = slim.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", shingles(F.col("text"), size).alias("toks")).select("id", F.size("toks").alias("n"), "toks")
+    # by sort and merge at every size: ids grow with the input
+    whole = slim.hint("merge").join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).select("id", shingles(F.col("text"), size).alias("toks")).select("id", F.size("toks").alias("n"), "toks")
     whole = cut(whole, "whole", "lz4", release=True)
     edges = cut(verify(pairs, whole, percent), "links")
     if not odd.isEmpty():

@@ -70,6 +70,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_adaptive_prefixes": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, list_sort(CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+        ), classes AS (
+            SELECT g, len(g) AS n, min(doc_id) AS rep FROM sets WHERE len(g) > 0 GROUP BY g
+        ), grams AS (
+            SELECT rep, n, unnest(g) AS gram FROM classes
+        ), links AS (
+            SELECT a.rep AS a, b.rep AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 190 * count(*) >= 90 * (a.n + b.n)
+        ), sides AS (
+            SELECT a, b FROM links UNION SELECT b, a FROM links
+        ), reach(node, goal) AS (
+            SELECT rep, rep FROM classes UNION SELECT r.node, e.b FROM reach r JOIN sides e ON r.goal = e.a
+        ), least AS (
+            SELECT node, min(goal) AS component_id FROM reach GROUP BY node
+        )
+        SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(c.rep, s.doc_id) AS class_id, coalesce(l.component_id, s.doc_id) AS component_id
+        FROM sets s LEFT JOIN classes c ON s.g = c.g LEFT JOIN least l ON c.rep = l.node
+    """,
+    "op9_hash_tree_shards": r"""
+        WITH RECURSIVE steps(i, k, v) AS (
+            SELECT range, 0, range FROM range(256)
+            UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM steps WHERE k < 8
+        ), crc AS (
+            SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8
+        ), bodies AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), sized AS (
+            SELECT doc_id, CAST(length(h) // 2 + 1 AS BIGINT) AS size,
+                xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(h, '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: xor(c // 256, t[CAST(xor(c, b) % 256 AS INTEGER) + 1])), 4294967295) AS text_crc32
+            FROM bodies, crc
+        ), drawn AS (
+            SELECT *, list_transform(range(17), lambda i: CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || i), 1, 13) AS BIGINT)) AS d,
+                CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32), 1, 8) AS BIGINT) % (SELECT greatest(32, CAST(ceil(count(*) / 50000.0) AS BIGINT)) FROM documents) AS part
+            FROM sized
+        ), placed AS (
+            SELECT doc_id, size, text_crc32, part, CAST(list_position(d, list_max(d[1:16])) - 1 AS INTEGER) AS shard, CAST(list_position(d, list_max(d)) - 1 AS INTEGER) AS grown_shard FROM drawn
+        )
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM placed
+    """,
     "op3_prefix_targets": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -72,6 +72,12 @@ def descend(leaves: Column, tree: Tree) -> Column:
     return choose(regions)
 
 
+def part_of(key: Column, checksum: Column, parts: int) -> Column:
+    """Part in which a row is numbered: 32 bits of the MD5 of key and checksum, modulo the parts."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), checksum.cast("string"))), 1, 8), 16, 10).cast("long")
+    return (bits % parts).cast("int")
+
+
 def shard(docs: DataFrame, tree: Tree = SIXTEEN, key: str = "doc_id", text: str = "text", rows_a_part: int = 50_000) -> DataFrame:
     """Place every row in a shard of the tree by its key, and number the rows of each shard without gaps.
 
@@ -91,7 +97,7 @@ def shard(docs: DataFrame, tree: Tree = SIXTEEN, key: str = "doc_id", text: str
         drawn.select(
             "doc_id", "size", "text_crc32",
             descend(F.col("_draws"), tree).cast("int").alias("shard"), descend(F.col("_draws"), more).cast("int").alias("grown_shard"),
-            F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int").alias("_part"),
+            part_of(F.col("doc_id"), F.col("text_crc32"), parts).alias("_part"),
         ),
         "placed",
     )

@@ -97,3 +97,36 @@ class GeoPackageSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options["path"], self.options["table"], [f.name for f in schema.fields], int(self.options.get("partitions", "8")))
+
+
+def write_layer(rows: list[tuple], path: str, layer: str, srs: int, fields: list[tuple[str, str]], timestamp: str) -> None:
+    """A GeoPackage with one MULTIPOLYGON layer from a few collected rows (geometry parts, then the fields' values).
+
+    fields: (name, SQL type). The bytes follow from the rows and the timestamp: fixed page size, vacuumed. The file must not exist.
+    """
+    import os
+    import struct
+
+    from ..functions.geometry import encode_wkb
+
+    if os.path.exists(path):
+        raise FileExistsError(path)
+    flat = [p for shape, *_ in rows for part in shape for ring in part for p in ring]
+    box = (min(x for x, _ in flat), min(y for _, y in flat), max(x for x, _ in flat), max(y for _, y in flat)) if flat else (None,) * 4
+    with sqlite3.connect(path) as db:
+        db.executescript(f"""
+            PRAGMA page_size = 4096; PRAGMA application_id = {APPLICATION_ID}; PRAGMA user_version = 10300;
+            CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT);
+            CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT, description TEXT, last_change DATETIME NOT NULL, min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER);
+            CREATE TABLE gpkg_geometry_columns (table_name TEXT PRIMARY KEY, column_name TEXT NOT NULL, geometry_type_name TEXT NOT NULL, srs_id INTEGER NOT NULL, z TINYINT NOT NULL, m TINYINT NOT NULL);
+        """)
+        db.execute("INSERT INTO gpkg_spatial_ref_sys VALUES (?, ?, 'EPSG', ?, 'undefined', NULL)", (f"EPSG:{srs}", srs, srs))
+        db.execute("INSERT INTO gpkg_contents VALUES (?, 'features', ?, '', ?, ?, ?, ?, ?, ?)", (layer, layer, timestamp, *box, srs))
+        db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', 'MULTIPOLYGON', ?, 0, 0)", (layer, srs))
+        declared = "".join(f", {quote(n)} {t}" for n, t in fields)
+        db.execute(f"CREATE TABLE {quote(layer)} (fid INTEGER PRIMARY KEY, geom MULTIPOLYGON{declared})")
+        marks = ", ".join("?" * (len(fields) + 1))
+        names = ", ".join(["geom", *[quote(n) for n, _ in fields]])
+        db.executemany(f"INSERT INTO {quote(layer)} ({names}) VALUES ({marks})", [(b"GP\0\1" + struct.pack("<i", srs) + encode_wkb(shape), *own) for shape, *own in rows])
+    with sqlite3.connect(path) as db:
+        db.execute("VACUUM")

@@ -70,6 +70,6 @@ def with_default(requests: DataFrame, tiles: DataFrame, default: Column) -> Data
 
 def recoloured(tiles: DataFrame, state: DataFrame) -> DataFrame:
     """Every tile in the colours and style of one tile state (colors, style, cache_tag); the state is a single row."""
-    one = state.select("colors", "style", "cache_tag").limit(1)
-    both = tiles.join(F.broadcast(one), how="cross")
-    return both.select("z", "x", "y", png.recoloured(F.col("content"), F.col("colors"), F.col("style")).alias("content"), "cache_tag")
+    one = state.select("colors", "style", "cache_tag").head()
+    colours = F.array(*[F.array(*map(F.lit, c)) for c in one["colors"]])
+    return tiles.select("z", "x", "y", png.recoloured(F.col("content"), colours, F.lit(one["style"])).alias("content"), F.lit(one["cache_tag"]).alias("cache_tag"))

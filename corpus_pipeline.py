@@ -29,9 +29,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by shingle similarity, the document with the least id; documents with a null id all stay."""
+    """Of each group linked by a similarity of 0.8 or more on 5-word shingles, the document with the least id; documents with a
+    null id all stay."""
     docs = docs.select(*COLUMNS)
-    ids = cut(ngram_join.join(docs).select("doc_id", "component_id"), "groups")
+    ids = cut(ngram_join.join(docs, size=5, percent=80).select("doc_id", "component_id"), "groups")
     kept = _only(docs, ids.where("doc_id <=> component_id").select("doc_id"), "left_semi")
     again = ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     return kept if again.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))

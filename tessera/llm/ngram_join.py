@@ -124,9 +124,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", shared.alias("i")).where((100 + percent) * F.col("i") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def join(docs: DataFrame, size: int = 3, percent: int = 90, light: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, size: int = 3, percent: int = 90, light: int = 64, first: float = 0.5, second: float = 1.0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Components of the documents under links of Jaccard similarity percent / 100 or more, by whole texts.
 
+    size: words of a shingle. light: most documents that a shingle which is looked up may have. first, second: the longest
+    prefixes of the two levels, as so many p more than p. These three only shift work.
+
     Returns a row for each row of docs: key, n_shingles, class_id (the least key with the same set) and component_id (the least
     key reachable by links). A null or empty text, or one without words, has no shingles and links with nothing; a null key
     gets a row with null ids; rows that repeat a key are one document of the texts' sets together, and must not differ.
@@ -135,8 +138,6 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, light: int = 64, key
     are written; shingles of whole sets are made again for the documents of pairs only. Components are computed by contraction.
     """
     slim = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # the levels' longest prefixes: so many p more
-    first, second = 0.5, 1.0
     made = slim.select("id", let(shingles(F.col("text"), size), lambda s: F.struct(F.size(s).alias("n"), F.xxhash64(s).alias("f"), F.xxhash64(F.reverse(s)).alias("g"), F.slice(s, F.lit(1), F.greatest(F.lit(1), prefix(F.size(s), percent, first))).alias("toks"))).alias("s"))
     held = cut(made.select("id", "s.*"), "sets", "lz4")
     classes = cut(held.where("n > 0").groupBy("n", "f", "g").agg(F.min("id").alias("rep")), "classes")

@@ -55,12 +55,12 @@ def corpus(seed=1):
     return [(i, texts[k]) for i, k in enumerate(order)]
 
 
-@pytest.mark.parametrize(("light", "seed"), [(64, 1), (4, 1), (1, 2)])
-def test_components(spark, light, seed):
+@pytest.mark.parametrize(("light", "seed", "size", "percent"), [(64, 1, 3, 90), (4, 1, 3, 90), (1, 2, 3, 90), (4, 3, 5, 80), (1, 4, 5, 80)])
+def test_components(spark, light, seed, size, percent):
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, "x", i) for i, t in rows], "doc_id long, text string, n string, token long")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs, light=light).collect()}
-    assert got == brute(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs, light=light, size=size, percent=percent).collect()}
+    assert got == brute(rows, size, percent)
 
 
 def test_repeated_null_and_no_rows(spark):

@@ -105,7 +105,7 @@ class Encoder:
     that is empty or has white space at an end is None in the table, and its text is given to the library whole.
     """
 
-    many, together = 600_000, 8_000
+    many, together = 1_000_000, 8_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -178,6 +178,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def portions(batch: pa.RecordBatch, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Slices of about so many bytes in the second column, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 SEGMENT = "part int, seq int, n_docs long, n_ids long, payload binary"
 INDEX = "part int, seq int, doc_id long, before long, n_tokens long, ids_crc32 long"
 
@@ -203,8 +213,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id",
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [len(keys)], "n_ids": [len(ids)], "payload": pa.array([payload], pa.binary())})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                rows = batch.slice(at, 2000)
+            for rows in portions(batch):
                 for k, ids in zip(rows.column(0).to_pylist(), encode_all(rows.column(1)), strict=True):
                     keys.append(k)
                     held.append(ids + end)

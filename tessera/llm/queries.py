@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, decontam, ngram_join, packing, pii, quality, secrets, sharding, suffix_dedup, tokenbin
 from .common import table
@@ -26,7 +27,9 @@ def op3_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measure(table(spark, sf_dir, "documents"))
+    rows = quality.measure(table(spark, sf_dir, "documents"))
+    # -1 where a guard holds
+    return rows.withColumns({c: F.round(F.coalesce(c, F.lit(-1.0)), 6) for c in ("char_distance", "word_distance")})
 
 
 def op5_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +94,89 @@ SQL: dict[str, str] = {
         SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(c.rep, s.doc_id) AS class_id, coalesce(l.component_id, s.doc_id) AS component_id
         FROM sets s LEFT JOIN classes c ON s.g = c.g LEFT JOIN least l ON c.rep = l.node
     """,
+    "op4_language_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents
+        ), split AS (
+            SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+                regexp_replace(t, '[a-z\x20]+', '', 'g') AS rest FROM docs
+        ), places AS (
+            SELECT r, i, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM split WHERE len(w) >= 5)
+        ), often AS (
+            SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM places) WHERE n > 1
+        ), repeats AS (
+            SELECT r, CAST(sum(least(5, coalesce(following, 1000000000) - i)) AS BIGINT) AS n_repeat_words FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS following FROM often) GROUP BY r
+        ), counts AS (
+            SELECT s.r, doc_id, lang, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) AS chars, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                length(regexp_replace(rest, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+                list_transform(['[A-Z]', '[0-9]', '[.,;:!?''"()-]', '[#*$%&|<>@=_/\\^~`+{}\[\]]', '[\x00-\x08\x0E-\x1F\x7F]', '[^\x00-\x7F]'], lambda c: length(rest) - length(regexp_replace(rest, c || '+', '', 'g'))) AS c
+            FROM split s LEFT JOIN repeats USING (r)
+        ), classed AS (
+            SELECT *, list_concat(c, [chars - word_chars, word_chars - CAST(list_sum(c) AS BIGINT)]) AS classes FROM counts
+        ), spoken AS (
+            SELECT lang FROM docs GROUP BY lang HAVING count(*) >= 20 ORDER BY count(*) DESC, lang LIMIT 256
+        ), heard AS (
+            SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(list_filter(regexp_split_to_array(lower(t), '[\x20\x09-\x0D]+'), lambda x: x <> '' AND length(x) <= 4)) AS word FROM docs) GROUP BY 1, 2
+        ), lists AS (
+            SELECT lang, list(word ORDER BY rank) AS words FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM heard) WHERE rank <= 24 AND lang IN (SELECT lang FROM spoken) GROUP BY lang
+        ), told AS (
+            SELECT c.*, CASE WHEN words IS NOT NULL THEN list_transform(words, lambda x: len(list_filter(w, lambda y: lower(y) = x))) END AS common, words FROM classed c LEFT JOIN lists l ON c.lang = l.lang
+        ), full_counts AS (
+            SELECT *, list_append(common, n_words - CAST(list_sum(common) AS BIGINT)) AS commons FROM told
+        ), long_form AS (
+            SELECT r, lang, 'classes' AS h, unnest(range(1, 9)) AS i, unnest(classes) AS v FROM full_counts WHERE words IS NOT NULL
+            UNION ALL SELECT r, lang, 'words', unnest(range(1, len(commons) + 1)), unnest(commons) FROM full_counts WHERE words IS NOT NULL
+        ), shares AS (
+            SELECT r, lang, h, i, v / nullif(sum(v) OVER (PARTITION BY r, h), 0) AS p, sum(v) OVER (PARTITION BY lang, h, i) AS q FROM long_form
+        ), both_shares AS (
+            SELECT r, h, p, q / nullif(sum(q) OVER (PARTITION BY r, h), 0) AS q FROM shares
+        ), far AS (
+            SELECT r, h, CASE WHEN count(p) > 0 THEN sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) END AS d FROM both_shares GROUP BY r, h
+        ), judged AS (
+            SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+                round(coalesce(CASE WHEN chars >= 200 THEN a.d END, -1), 6) AS char_distance, round(coalesce(CASE WHEN n_words >= 50 THEN b.d END, -1), 6) AS word_distance
+            FROM full_counts f LEFT JOIN far a ON f.r = a.r AND a.h = 'classes' LEFT JOIN far b ON f.r = b.r AND b.h = 'words'
+        )
+        SELECT *, NOT base_failed AND char_distance <= 0.3 AND word_distance <= 0.45 AS kept FROM judged
+    """,
+    "op8_suffix_ranges": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775807) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), strings AS (
+            SELECT r, k, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT r, k, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM docs WHERE length(h) >= 100)
+        ), first AS (
+            SELECT s, min(k) AS least FROM strings GROUP BY s
+        ), hits AS (
+            SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM strings JOIN first USING (s) WHERE least < k
+        ), runs AS (
+            SELECT r, min(i) AS a, max(i) + 50 AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM hits) GROUP BY r, run
+        ), kept AS (
+            SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest
+            FROM (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM runs) JOIN docs USING (r) GROUP BY r
+        )
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM docs LEFT JOIN kept USING (r)
+    """,
+    "op10_blob_ledger": r"""
+        WITH rules(rank, kind, pattern, least) AS (VALUES
+            (0, 'assign', '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', 8), (1, 'access', 'AKIA[A-Z0-9]+', 16), (2, 'hex', '[0-9a-f]+', 32),
+            (3, 'private_key', '-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----', 20), (4, 'forge_token', 'gh[pousr]_[A-Za-z0-9]{36,}', 40), (5, 'chat_token', 'xox[abprs]-[A-Za-z0-9-]{10,}', 15),
+            (6, 'signed_token', 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}', 30)
+        ), docs AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+        ), pieces AS (
+            SELECT r, rank, kind, least, regexp_extract_all(t, pattern) AS found, string_split_regex(t, pattern) AS pieces FROM docs CROSS JOIN rules WHERE regexp_matches(t, pattern)
+        ), placed AS (
+            SELECT r, rank, kind, least, m, sum(gap) OVER w + sum(length(m)) OVER w - length(m) AS a
+            FROM (SELECT r, rank, kind, least, unnest(range(1, len(found) + 1)) AS i, unnest(found) AS m, unnest(list_transform(pieces[1:len(found)], lambda x: length(x))) AS gap FROM pieces)
+            WINDOW w AS (PARTITION BY r, rank ORDER BY i)
+        ), spans AS (
+            SELECT r, rank, kind, a, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + length(m) AS BIGINT) AS s FROM placed
+            WHERE CASE WHEN rank = 0 THEN length(regexp_extract(m, '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) ELSE length(m) END >= least
+        ), listed AS (
+            SELECT r, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, string_agg(s, ',' ORDER BY a, rank) FILTER (rank <= 2) AS base, string_agg(s, ',' ORDER BY a, rank) AS spans FROM spans GROUP BY r
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN listed USING (r)
+    """,
     "op9_hash_tree_shards": r"""
         WITH RECURSIVE steps(i, k, v) AS (
             SELECT range, 0, range FROM range(256)

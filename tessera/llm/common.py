@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 
 #: White space as the contracts define it: space and U+0009 to U+000D.
 BLANK = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
 
@@ -24,6 +24,8 @@ def scratch(spark: SparkSession) -> str:
     if given:
         return given.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, _own[app], True)

@@ -103,7 +103,7 @@ def find(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0
     a, b = left.alias("a"), right.alias("b")
     distance = F.bit_count(F.col("a.print").bitwiseXOR(F.col("b.print"))).cast("int")
     met = a.join(b.drop("grams"), (F.col("a.n") == F.col("b.n")) & (F.col("a.block") == F.col("b.block")) & (distance <= radius)).select("a.doc_id", "b.item_id", "a.start", "a.n", "a.ww", distance.alias("distance"))
-    met = met.dropDuplicates(["doc_id", "item_id", "start"])
+    met = met.distinct()
 
     seen = listed.select("item_id", F.explode(F.array_distinct("grams")).alias("g"))
     rarity = seen.groupBy("g").agg(F.count(F.lit(1)).alias("df"))

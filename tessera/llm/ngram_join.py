@@ -187,10 +187,17 @@ def _groups(rest: DataFrame, edges: DataFrame, whole: DataFrame, percent: int) -
     # partners differ in this many shingles at most: n of the greater set is n * 100 / percent
     most = F.floor(F.col("n") * (100 - percent) / percent).cast("int")
     # shingles that only this document differs in come first
-    room = F.greatest(F.lit(0), F.least(F.col("size"), most + 1) - (F.col("size") - F.size("d")))
-    short = cut(held.select("hub", "id", "n", "linked", F.coalesce("root", "id").alias("root"), F.explode(F.slice("d", F.lit(1), room)).alias("s")).select("hub", "id", "n", "linked", "root", "s.side", "s.token"), "rarest")
+    own = F.col("size") - F.size("d")
+    room = F.greatest(F.lit(0), F.least(F.col("size"), most + 1) - own)
+    short = held.select("hub", "id", "n", "linked", "size", own.alias("own"), F.coalesce("root", "id").alias("root"), F.posexplode(F.slice("d", F.lit(1), room)).alias("i", "s"))
+    # left: how many shingles of D come with this one and after it
+    short = cut(short.select("hub", "id", "n", "linked", "size", "root", (F.col("size") - F.col("own") - F.col("i")).alias("left"), "s.side", "s.token"), "rarest")
     a, b = short.where("not linked").alias("a"), short.alias("b")
     same = (F.col("a.hub") == F.col("b.hub")) & (F.col("a.side") == F.col("b.side")) & (F.col("a.token") == F.col("b.token"))
-    found = a.join(b, same & (F.col("a.root") != F.col("b.root")) & similar_sizes(F.col("a.n"), F.col("b.n"), percent))
+    # at the first shingle that two D share, all they share is among what is left: enough for |D(x)| + |D(y)| - 2 |D(x) & D(y)|
+    # to be within what partners of these sizes differ in
+    differ_most = F.floor((F.col("a.n") + F.col("b.n")) * (100 - percent) / (100 + percent))
+    enough = 2 * F.least("a.left", "b.left") >= F.col("a.size") + F.col("b.size") - differ_most
+    found = a.join(b, same & (F.col("a.root") != F.col("b.root")) & enough & similar_sizes(F.col("a.n"), F.col("b.n"), percent))
     found = cut(found.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct(), "pairs")
     return cut(edges.union(verify(found, whole, percent)), "links")

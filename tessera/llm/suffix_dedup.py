@@ -27,6 +27,8 @@ from .common import cut
 LENGTH, GRAM = 50, 16
 STRINGS = LENGTH - GRAM + 1
 PIECE = 1 << 19
+#: Contexts whose suffixes are sorted at once, or those of one gram.
+KINDS = 20_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 NONE = -(1 << 63)
 
@@ -337,12 +339,24 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = [(ids[whole], hashes[whole], starts[whole], starts[whole] + sizes[kind[whole]])]
     grams: dict[bytes, int] = {}
     gram = np.array([grams.setdefault(x[x[-1] : x[-1] + GRAM], len(grams)) for x in names])
+    del kinds, grams
     mixed = np.flatnonzero(np.bincount(gram)[gram] > 1)
-    if len(mixed):
-        which, a, b = removed([names[i][:-1] for i in mixed], least[mixed], np.zeros(len(mixed), np.int64))
+    mixed = mixed[np.argsort(gram[mixed], kind="stable")]
+    found = []
+    # some grams at a time: what has equal suffixes here has equal grams
+    ends = np.flatnonzero(np.append(gram[mixed][1:] != gram[mixed][:-1], True)) + 1 if len(mixed) else []
+    at = 0
+    for i, end in enumerate(ends):
+        if end - at >= KINDS or i == len(ends) - 1:
+            part = mixed[at:end]
+            which, x, y = removed([names[k][:-1] for k in part], least[part], np.zeros(len(part), np.int64))
+            found.append((part[which], x, y))
+            at = end
+    if found:
+        which, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         # a kind's stretches go from each of its least document's places
-        order = np.argsort(mixed[which], kind="stable")
-        which, a, b = mixed[which][order], a[order], b[order]
+        order = np.argsort(which, kind="stable")
+        which, a, b = which[order], a[order], b[order]
         holders = np.flatnonzero(ids == least[kind])
         x, y = np.searchsorted(which, kind[holders]), np.searchsorted(which, kind[holders], "right")
         rows = np.repeat(holders, y - x)

@@ -160,11 +160,11 @@ class Encoder:
             return [self._whole(t) for t in texts.to_pylist()]
         marked = pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", pa.large_string()))
         split = pc.split_pattern(marked, " ")
-        coded = split.flatten().dictionary_encode()
+        coded, at = split.flatten().dictionary_encode(), split.offsets.to_numpy().astype(np.int64)
+        del marked, split
         ids = self._ids(coded.dictionary.to_pylist())
         bad = np.array([x is None for x in ids], bool)
         taken = pa.array([x or b"" for x in ids], pa.large_binary()).take(coded.indices)
-        at = split.offsets.to_numpy().astype(np.int64)
         stops = (np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[at] if len(taken) else at).tolist()
         data = memoryview(taken.buffers()[2] or b"")
         odd = (np.add.reduceat(bad[coded.indices.to_numpy()], at[:-1]) > 0).tolist() if bad.any() else [False] * len(texts)
@@ -178,7 +178,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def portions(batch: pa.RecordBatch, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about so many bytes in the second column, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0

@@ -102,6 +102,22 @@ def test_long_texts_come_in_pieces(monkeypatch):
     assert sorted(seen) == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 49)] and all(len(v) == 1 and k <= v[0] <= k + 34 for (_, k), v in seen.items())
 
 
+def test_contexts_in_parts(monkeypatch):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcd ") for _ in range(300)) for _ in range(6)]
+    texts = [t[: rng.randint(100, 300)] + rng.choice("xyz") + t[rng.randint(0, 100) :] for t in base * 5]
+    at = pa.array([sorted({int(p + a - f) for _, aa, ff, _, _, pp, _ in suffix_dedup.anchors([t.encode()]) for a, f, p in zip(aa, ff, pp, strict=True)}) for t in texts], pa.list_(pa.int32()))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(range(30)), pa.array(texts), at], names=["id", "t64", "text", "at"])
+    contexts = list(suffix_dedup._contexts(iter([rows])))
+
+    def resolve():
+        return sorted(tuple(r.values()) for b in suffix_dedup._resolve(iter(contexts)) for r in b.to_pylist())
+
+    whole = resolve()
+    monkeypatch.setattr(suffix_dedup, "KINDS", 1)
+    assert whole and resolve() == whole
+
+
 def test_multikey_runs():
     data = np.frombuffer(b"abcabcabc" * 20 + b"x" + b"abcabcabc" * 20 + bytes(8), np.uint8)
     words = np.zeros(len(data) - 7, np.uint64)

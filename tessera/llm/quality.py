@@ -18,12 +18,11 @@ WIDTH = len(CLASSES) + 2
 
 @dataclass(frozen=True)
 class Limits:
-    """common: words in a language's list, of up to common_chars characters. Divergence counts from so many characters or words on, and
+    """common: words in a language's list, of any length. Divergence counts from so many characters or words on, and
     for languages with so many documents and at most `languages` of them by documents, the others have no reference. A
     document is rejected over a Jensen-Shannon distance (0 to 1, square root of the divergence in bits)."""
 
     common: int = 24
-    common_chars: int = 4
     least_chars: int = 200
     least_words: int = 50
     least_docs: int = 20
@@ -78,9 +77,11 @@ def class_counts(text: Column, rest: Column, in_words: Column) -> Column:
     return let(F.array(*counts).cast("array<long>"), whole).cast("array<long>")
 
 
-def common_counts(own: Column, listed: Column, longest: int) -> Column:
-    """How often each word of the list, of up to `longest` characters, is among the words, lower-cased; all other words last.
-    Null without a list."""
+def common_counts(own: Column, listed: Column, longest: Column) -> Column:
+    """How often each word of the list is among the words, lower-cased; all other words last. Null without a list.
+
+    longest: characters of the list's longest word. No longer word can be in it, as lower case never has fewer characters, so
+    these are not looked up."""
     short = F.filter(own, lambda w: F.length(w) <= longest)
     places = F.filter(F.transform(short, lambda w: F.array_position(listed, F.lower(w)).cast("int")), lambda p: p > 0)
 
@@ -107,12 +108,13 @@ def shannon(p: Column, q: Column) -> Column:
 
 
 def common_words(docs: DataFrame, limits: Limits, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang and its list of most frequent words, counted over all documents; ties in order of the word."""
+    """lang, its list of most frequent words, counted over all documents, and the longest one's characters; ties in order of the word."""
     spoken = docs.groupBy(lang).count().where(F.col("count") >= limits.least_docs).orderBy(F.desc("count"), lang).limit(limits.languages).select(F.col(lang).alias("_lang"))
     word = docs.select(F.col(lang).alias("_lang"), F.explode(F.split(F.lower(F.col(text)), BLANK + "+")).alias("word"))
-    counts = word.where((F.col("word") != "") & (F.length("word") <= limits.common_chars)).groupBy("_lang", "word").count()
+    counts = word.where(F.col("word") != "").groupBy("_lang", "word").count()
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= limits.common)
     lists = best.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("_list")).select("_lang", F.transform("_list", lambda x: x["word"]).alias("_list"))
+    lists = lists.withColumn("_longest", F.array_max(F.transform("_list", lambda x: F.length(x))))
     return lists.join(F.broadcast(spoken), "_lang", "left_semi")
 
 
@@ -135,7 +137,7 @@ def measure(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", tex
     def counted(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            repeated_words(w).alias("n_repeat_words"), common_counts(w, F.col("_list"), limits.common_chars).alias("common"),
+            repeated_words(w).alias("n_repeat_words"), common_counts(w, F.col("_list"), F.col("_longest")).alias("common"),
         )
 
     held = held.withColumn("_rest", F.regexp_replace("_text", r"[a-z\x20]+", ""))

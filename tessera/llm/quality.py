@@ -109,13 +109,13 @@ def shannon(p: Column, q: Column) -> Column:
 
 def common_words(docs: DataFrame, limits: Limits, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, its list of most frequent words, counted over all documents, and the longest one's characters; ties in order of the word."""
-    spoken = docs.groupBy(lang).count().where(F.col("count") >= limits.least_docs).orderBy(F.desc("count"), lang).limit(limits.languages).select(F.col(lang).alias("_lang"))
+    spoken = docs.groupBy(lang).count().where(F.col("count") >= limits.least_docs).orderBy(F.desc("count"), lang).limit(limits.languages).select(F.col(lang).alias("_own"))
     word = docs.select(F.col(lang).alias("_lang"), F.explode(F.split(F.lower(F.col(text)), BLANK + "+")).alias("word"))
     counts = word.where(F.col("word") != "").groupBy("_lang", "word").count()
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= limits.common)
     lists = best.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("_list")).select("_lang", F.transform("_list", lambda x: x["word"]).alias("_list"))
     lists = lists.withColumn("_longest", F.array_max(F.transform("_list", lambda x: F.length(x))))
-    return lists.join(F.broadcast(spoken), "_lang", "left_semi")
+    return lists.join(F.broadcast(spoken), F.col("_lang").eqNullSafe(F.col("_own")), "left_semi")
 
 
 def measure(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -151,7 +151,7 @@ def measure(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", tex
     totals = features.groupBy("_lang").agg(*sums)
     references = totals.select(
         F.col("_lang").alias("_own"), F.array(*[F.col(f"c{i}") for i in range(WIDTH)]).alias("_classes"), F.array_compact(F.array(*[F.col(f"w{i}") for i in range(limits.common + 1)])).alias("_common")
-    ).join(F.broadcast(lists.select(F.col("_lang").alias("_own"))), "_own", "left_semi")
+    ).join(F.broadcast(lists.select(F.col("_lang").alias("_listed"))), F.col("_own").eqNullSafe(F.col("_listed")), "left_semi")
     far = features.join(F.broadcast(references), F.col("_lang").eqNullSafe(F.col("_own")), "left")
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     verdicts = far.withColumns({

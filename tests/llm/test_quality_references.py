@@ -39,3 +39,12 @@ def test_common_words_have_any_length(spark):
     assert all(got[i]["kept"] and got[i]["word_distance"] is not None for i in range(39))
     assert got[39]["char_distance"] > 0.3 and not got[39]["kept"]
     assert got[40]["word_distance"] > max(got[i]["word_distance"] for i in range(39))
+
+
+def test_null_is_a_language_with_a_reference(spark):
+    rng = random.Random(2)
+    got = verdicts(spark, language(None, 0, 30, rng) + language("de", 100, 30, rng))
+    for first in (0, 100):
+        assert all(got[first + i]["kept"] for i in range(29))
+        assert got[first + 29]["char_distance"] > 0.3 and not got[first + 29]["base_failed"] and not got[first + 29]["kept"]
+    assert all(r["char_distance"] is not None and r["word_distance"] is not None for r in got.values())

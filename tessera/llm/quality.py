@@ -18,14 +18,13 @@ WIDTH = len(CLASSES) + 2
 
 @dataclass(frozen=True)
 class Limits:
-    """common: words in a language's list, of any length. Divergence counts from so many characters or words on, and
-    for languages with so many documents and at most `languages` of them by documents, the others have no reference. A
-    document is rejected over a Jensen-Shannon distance (0 to 1, square root of the divergence in bits)."""
+    """common: words in a language's list, of any length. Divergence counts from so many characters or words on.
+    languages: lists and references of up to so many are broadcast, for more Spark chooses the join. A document is rejected over
+    a Jensen-Shannon distance (0 to 1, square root of the divergence in bits)."""
 
     common: int = 24
     least_chars: int = 200
     least_words: int = 50
-    least_docs: int = 20
     languages: int = 256
     char_distance: float = 0.3
     word_distance: float = 0.45
@@ -109,30 +108,34 @@ def shannon(p: Column, q: Column) -> Column:
 
 def common_words(docs: DataFrame, limits: Limits, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, its list of most frequent words, counted over all documents, and the longest one's characters; ties in order of the word."""
-    spoken = docs.groupBy(lang).count().where(F.col("count") >= limits.least_docs).orderBy(F.desc("count"), lang).limit(limits.languages).select(F.col(lang).alias("_own"))
     word = docs.select(F.col(lang).alias("_lang"), F.explode(F.split(F.lower(F.col(text)), BLANK + "+")).alias("word"))
     counts = word.where(F.col("word") != "").groupBy("_lang", "word").count()
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= limits.common)
     lists = best.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("_list")).select("_lang", F.transform("_list", lambda x: x["word"]).alias("_list"))
-    lists = lists.withColumn("_longest", F.array_max(F.transform("_list", lambda x: F.length(x))))
-    return lists.join(F.broadcast(spoken), F.col("_lang").eqNullSafe(F.col("_own")), "left_semi")
+    return lists.withColumn("_longest", F.array_max(F.transform("_list", lambda x: F.length(x))))
+
+
+def _by_language(rows: DataFrame, sums: DataFrame, limits: Limits) -> DataFrame:
+    """rows with what sums, a written table, has for their language; null is one."""
+    return rows.join(F.broadcast(sums) if sums.count() <= limits.languages else sums, F.col("_lang").eqNullSafe(F.col("_own")), "left")
 
 
 def measure(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Counts, distances and verdicts of every document, by its whole text.
 
     Returns key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
-    A language's reference is the sum of its documents' histograms; null is a language too. A distance is null, and rejects
-    nothing, for documents under the length guards and languages without a reference. A null or empty text has no words and
+    A language's reference is the sum of its documents' histograms, however few they are or many languages there are; null is a
+    language too. A language's only document is its own reference, at distance 0. A distance is null, and rejects nothing, for
+    documents under the length guards. A null or empty text has no words and
     fails; repeated rows give rows of their own and count in the references; an empty input gives no rows.
 
     Words are counted by language over all documents (partial sums, then a top list per language), then each document is
-    read once. Only lists and references of at most `languages` languages are broadcast.
+    read once. Lists and references of at most `languages` languages are broadcast; more are joined as Spark sees fit.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), body.alias("_text"))
     lists = cut(common_words(slim, limits, "_text", "_lang"), "common")
-    held = slim.join(F.broadcast(lists.withColumnRenamed("_lang", "_own")), F.col("_lang").eqNullSafe(F.col("_own")), "left")
+    held = _by_language(slim, lists.withColumnRenamed("_lang", "_own"), limits)
 
     def counted(w: Column) -> Column:
         return F.struct(
@@ -151,8 +154,8 @@ def measure(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", tex
     totals = features.groupBy("_lang").agg(*sums)
     references = totals.select(
         F.col("_lang").alias("_own"), F.array(*[F.col(f"c{i}") for i in range(WIDTH)]).alias("_classes"), F.array_compact(F.array(*[F.col(f"w{i}") for i in range(limits.common + 1)])).alias("_common")
-    ).join(F.broadcast(lists.select(F.col("_lang").alias("_listed"))), F.col("_own").eqNullSafe(F.col("_listed")), "left_semi")
-    far = features.join(F.broadcast(references), F.col("_lang").eqNullSafe(F.col("_own")), "left")
+    )
+    far = _by_language(features, cut(references, "references"), limits)
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     verdicts = far.withColumns({
         "char_distance": F.when(chars >= limits.least_chars, shannon(F.col("classes"), F.col("_classes"))),

@@ -48,3 +48,17 @@ def test_null_is_a_language_with_a_reference(spark):
         assert all(got[first + i]["kept"] for i in range(29))
         assert got[first + 29]["char_distance"] > 0.3 and not got[first + 29]["base_failed"] and not got[first + 29]["kept"]
     assert all(r["char_distance"] is not None and r["word_distance"] is not None for r in got.values())
+
+
+def test_languages_of_any_size_and_number_have_references(spark):
+    rng = random.Random(3)
+    sizes = [2 if k else 19 for k in range(300)]
+    rows = [r for k, n in enumerate(sizes) for r in language(f"x-{k}", 100 * k, n, rng)]
+    got = verdicts(spark, rows)
+    assert len(got) == len(rows) and all(r["char_distance"] is not None and r["word_distance"] is not None for r in got.values())
+    assert all(got[i]["kept"] for i in range(18)) and got[18]["char_distance"] > 0.3 and not got[18]["kept"]
+    # past the broadcast bound, and without it
+    own = {r["doc_id"]: r for r in quality.measure(spark.createDataFrame(rows, SCHEMA), quality.Limits(languages=1000)).collect()}
+    assert all(got[i]["kept"] == own[i]["kept"] and abs(got[i]["char_distance"] - own[i]["char_distance"]) < 1e-9 for i in got)
+    # a document by itself
+    assert verdicts(spark, language("solo", 0, 1, rng))[0]["char_distance"] == 0

@@ -44,11 +44,17 @@ def grams(own: Column, size: Column) -> Column:
 
 
 def weighted_jaccard(a: Column, b: Column, weights: Column, other: Column) -> Column:
-    """Sum of the lesser counts over sum of the greater, each shingle by its weight (a map; `other` for those not in it)."""
+    """Sum of the lesser counts over sum of the greater, each shingle by its weight (a map; `other` for those not in it).
+
+    Where neither side repeats a shingle, which is the common case, the counts are those of the sides' intersection and union.
+    """
+
+    def weight(s: Column) -> Column:
+        return F.coalesce(F.try_element_at(weights, s), other)
 
     def tally(s: Column) -> Column:
         x, y = F.size(F.filter(a, lambda v: v == s)), F.size(F.filter(b, lambda v: v == s))
-        w = F.coalesce(F.try_element_at(weights, s), other)
+        w = weight(s)
         return F.struct((F.least(x, y) * w).alias("both"), (F.greatest(x, y) * w).alias("any"))
 
     def ratio(t: Column) -> Column:
@@ -56,17 +62,25 @@ def weighted_jaccard(a: Column, b: Column, weights: Column, other: Column) -> Co
         every = F.aggregate(t, F.lit(0.0), lambda acc, v: acc + v["any"])
         return F.when(every > 0, both / every).otherwise(0.0)
 
-    return let(F.transform(F.array_union(a, b), tally), ratio)
+    def total(shingles: Column) -> Column:
+        return F.aggregate(shingles, F.lit(0.0), lambda acc, s: acc + weight(s))
+
+    def single(x: Column) -> Column:
+        return F.size(F.array_distinct(x)) == F.size(x)
+
+    sets = F.when(F.size(F.array_union(a, b)) > 0, total(F.array_intersect(a, b)) / total(F.array_union(a, b))).otherwise(0.0)
+    return F.when(~F.arrays_overlap(a, b), 0.0).when(single(a) & single(b), sets).otherwise(let(F.transform(F.array_union(a, b), tally), ratio))
 
 
-def find(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 13, slack: int = 2, key: str = "doc_id", item: str = "item_id", text: str = "text", broadcast_shingles: int = 1_000_000) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24, slack: int = 2, key: str = "doc_id", item: str = "item_id", text: str = "text", broadcast_shingles: int = 1_000_000) -> DataFrame:
     """Windows of documents that are near a benchmark item: a row (HIT) for each document and item, with the best window.
 
     Texts are lower-cased and cut at white space; punctuation stays. An item of n words is held against windows of n words:
     those at which a shared 5-word shingle (the whole item if it is shorter) lines up, and up to `slack` words to either side, for
     words put in or left out. A window without a shared shingle has similarity 0, so this loses none. Its fingerprint is looked
     up among those of the items of n words by blocks, which finds all within the radius; the similarity of these pairs is then
-    computed exactly: weighted Jaccard of shingle counts, a shingle's weight being ln(1 + items / items that have it).
+    computed exactly: weighted Jaccard of shingle counts, a shingle's weight being ln(1 + items / items that have it). The radius is
+    wide, so that it loses next to no window of that similarity (see the README): pairs have a shingle to share, few are far.
 
     Null and empty texts and items have no hit. Rows that share a key, null too, are one document, whose windows come from all of
     them; repeated items are one. The items' shingles are broadcast if there are at most broadcast_shingles, else joined by

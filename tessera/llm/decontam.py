@@ -83,15 +83,16 @@ def find(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0
     wide, so that it loses next to no window of that similarity (see the README): pairs have a shingle to share, few are far.
 
     Null and empty texts and items have no hit. Rows that share a key, null too, are one document, whose windows come from all of
-    them; repeated items are one. The items' shingles are broadcast if there are at most broadcast_shingles, else joined by
+    them. Rows that share an item's id, null too, are one item with several texts, each of which is looked for and weighs as an
+    item of its own; rows with the same words are one. The items' shingles are broadcast if there are at most broadcast_shingles, else joined by
     shuffle. Hits come in no order.
     """
     spark = docs.sparkSession
-    own = items.select(F.col(item).alias("item_id"), words(F.lower(text)).alias("iw")).where(F.size("iw") > 0).dropDuplicates(["item_id"])
+    own = items.select(F.col(item).alias("item_id"), words(F.lower(text)).alias("iw")).where(F.size("iw") > 0).dropDuplicates(["item_id", "iw"]).withColumn("row", F.monotonically_increasing_id())
     own = own.withColumn("n", F.size("iw")).withColumn("size", F.least(F.lit(size), F.col("n")))
     listed = cut(own.withColumn("grams", grams(F.col("iw"), F.col("size"))).withColumn("print", simhash(F.col("iw"))), "items")
     n_items = listed.count()
-    places = cut(listed.select("item_id", "n", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("size")), lambda i: F.xxhash64(F.slice("iw", i + 1, F.col("size"))))).alias("offset", "h")), "places")
+    places = cut(listed.select("row", "n", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("size")), lambda i: F.xxhash64(F.slice("iw", i + 1, F.col("size"))))).alias("offset", "h")), "places")
     sizes = [r[0] for r in places.select("size").distinct().collect()]
     if not sizes:
         return spark.createDataFrame([], HIT)
@@ -113,18 +114,18 @@ def find(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0
     windows = cut(spots.withColumn("print", simhash(F.col("ww"))), "windows")
 
     left = windows.select("*", F.explode(blocks(F.col("print"), radius)).alias("block"))
-    right = listed.select("item_id", "n", "size", "print", "grams", F.explode(blocks(F.col("print"), radius)).alias("block"))
+    right = listed.select("row", "n", "size", "print", "grams", F.explode(blocks(F.col("print"), radius)).alias("block"))
     a, b = left.alias("a"), right.alias("b")
     distance = F.bit_count(F.col("a.print").bitwiseXOR(F.col("b.print"))).cast("int")
-    met = a.join(b.drop("grams"), (F.col("a.n") == F.col("b.n")) & (F.col("a.block") == F.col("b.block")) & (distance <= radius)).select("a.doc_id", "b.item_id", "a.start", "a.n", "a.ww", distance.alias("distance"))
+    met = a.join(b.drop("grams"), (F.col("a.n") == F.col("b.n")) & (F.col("a.block") == F.col("b.block")) & (distance <= radius)).select("a.doc_id", "b.row", "a.start", "a.n", "a.ww", distance.alias("distance"))
     met = met.distinct()
 
-    seen = listed.select("item_id", F.explode(F.array_distinct("grams")).alias("g"))
+    seen = listed.select("row", F.explode(F.array_distinct("grams")).alias("g"))
     rarity = seen.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    weights = seen.join(rarity, "g").groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("g", F.log(1 + n_items / F.col("df"))))).alias("weights"))
-    sides = listed.select("item_id", "size", "grams").join(weights, "item_id")
+    weights = seen.join(rarity, "g").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("g", F.log(1 + n_items / F.col("df"))))).alias("weights"))
+    sides = listed.select("row", "item_id", "size", "grams").join(weights, "row")
     alike = weighted_jaccard(grams(F.col("ww"), F.col("size")), F.col("grams"), F.col("weights"), F.log(F.lit(1.0 + n_items)))
-    scored = met.join(sides, "item_id").withColumn("similarity", alike).where(F.col("similarity") >= similarity)
+    scored = met.join(sides, "row").withColumn("similarity", alike).where(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("back"), (-F.col("distance")).alias("near"), F.col("n"))).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.back")).cast("int").alias("start_word"), F.col("best.n").cast("int").alias("n_words"), (-F.col("best.near")).cast("int").alias("distance"), F.col("best.similarity").alias("similarity"))
 

@@ -34,3 +34,18 @@ def test_similarity_of_sets_equals_that_of_counts(spark):
     weights = F.create_map(F.lit("a"), F.lit(1.0), F.lit("b"), F.lit(2.0), F.lit("c"), F.lit(4.0))
     got = [r[0] for r in frame.select(decontam.weighted_jaccard(F.col("a"), F.col("b"), weights, F.lit(8.0))).collect()]
     assert got == [6 / 15, 3 / 6, 0.0, 0.0, 0.0]
+
+
+def test_all_texts_of_an_id_are_looked_for(spark):
+    rng = random.Random(5)
+    own = [fresh(rng, 20) for _ in range(6)]
+    ids = [7, 7, 7, None, None, 8]
+    docs = spark.createDataFrame([(i, " ".join(fresh(rng, 30) + w + fresh(rng, 30))) for i, w in enumerate(own)], "doc_id long, text string")
+    rows = [(k, " ".join(w)) for k, w in zip(ids, own, strict=True)]
+    bench = spark.createDataFrame(rows + rows[:1], "item_id long, text string")
+    for n in (1_000_000, 0):
+        got = [(r["doc_id"], r["item_id"]) for r in decontam.find(docs, bench, broadcast_shingles=n).collect()]
+        assert len(got) == 6 and set(got) == set(enumerate(ids))
+    # one document with all texts has one row for each id
+    both = spark.createDataFrame([(1, " ".join(sum(own, [])))], "doc_id long, text string")
+    assert sorted(str(r["item_id"]) for r in decontam.find(both, bench).collect()) == ["7", "8", "None"]

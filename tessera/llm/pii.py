@@ -25,15 +25,21 @@ MORE = {
     "local_phone": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
     "birth_date": r"(?<![0-9/.-])(?:[0-3]?[0-9][/.-][01]?[0-9][/.-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9])(?![0-9/-])",
-    "person": r"(?<![A-Za-z])[A-Z][a-z]{1,20}\x20[A-Z][a-z]{1,20}(?![A-Za-z])",
+    "person": r"(?<![\p{L}\p{M}])\p{Lu}[\p{Ll}\p{M}]{1,20}\x20\p{Lu}[\p{Ll}\p{M}]{1,20}(?![\p{L}\p{M}])",
 }
 #: A character that any match of the kind has, to spare texts without it.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "national_id": "-"}
 #: Words that tell personal data of any kind, right before a span.
-CONTEXT = r"(?i)(?<![a-z])(?:name|mr|mrs|ms|dr|contact|call|phone|tel|mobile|fax|e-?mail|mail|card|visa|account|iban|ssn|social security|born|birth|dob|ip|address|nombre|correo|nom|telefono|telefon|konto|geboren)(?![a-z])[^\n]{0,20}$"
+SIGNS = "name|mr|mrs|ms|dr|contact|call|phone|tel|mobile|fax|e-?mail|mail|card|visa|account|iban|ssn|social security|born|birth|dob|ip|address|nombre|correo|nom|telefono|telefon|konto|geboren"
+CONTEXT = rf"(?i)(?<![a-z])(?:{SIGNS})(?![a-z])[^\n]{{0,20}}$"
 #: Words before a span that tell something else, such as a version or an amount.
 AGAINST = r"(?i)(?<![a-z])(?:version|release|section|chapter|figure|page|isbn|issn|part|order|invoice|total|price|vol|no)(?![a-z])[^\n]{0,8}$"
 GIVEN = ("James", "Mary", "John", "Patricia", "Robert", "Jennifer", "Michael", "Linda", "David", "Elizabeth", "William", "Barbara", "Richard", "Susan", "Thomas", "Sarah", "Maria", "Carlos", "Juan", "Ana", "Luis", "Jose", "Pierre", "Marie", "Jean", "Sophie", "Hans", "Anna", "Klaus", "Peter", "Paul", "Laura")
+#: Persons are proposed by a given name, or else by a word of CONTEXT before two words that aren't of it.
+_FIRST = r"\p{Lu}[\p{Ll}\p{M}]{1,20}\x20"
+_NO_SIGN = rf"(?!(?i:{SIGNS})(?![\p{{L}}\p{{M}}]))"
+GIVEN_PERSON = MORE["person"].replace(_FIRST, rf"(?:{'|'.join(GIVEN)})\x20", 1)
+TOLD_PERSON = MORE["person"].replace(_FIRST, rf"(?=\p{{Lu}}){_NO_SIGN}(?<=(?i:(?<![a-z])(?:{SIGNS})(?![a-z]))[^\n]{{0,20}}){_FIRST}{_NO_SIGN}", 1)
 PRIVATE_NETS = ("10.", "127.", "192.168.", "0.")
 IBAN_LANDS = ("AT", "BE", "CH", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "NL", "NO", "PL", "PT", "SE")
 
@@ -89,8 +95,8 @@ def known(kind: str, text: Column) -> Column:
 def candidates(text: Column) -> Column:
     """CANDIDATE spans of a text: every base span and what other kinds propose, each with the labelers' votes.
 
-    Proposals that overlap a base span are left out. A capitalised pair is proposed as a person only when its first word is in
-    the gazetteer: without that no labeler can speak for it.
+    Proposals that overlap a base span are left out. A capitalised pair is proposed as a person when a labeler speaks for it: its
+    first word is in the gazetteer, or the context votes for it and it overlaps no pair of the gazetteer's.
     """
     def voted(kind: str, rank: int):
         def item(m: Column) -> Column:
@@ -105,9 +111,11 @@ def candidates(text: Column) -> Column:
 
     found = {}
     for rank, kind in enumerate(KINDS):
-        pattern = (BASE | MORE)[kind] if kind != "person" else MORE["person"].replace("[A-Z][a-z]{1,20}", f"(?:{'|'.join(GIVEN)})", 1)
+        pattern = (BASE | MORE)[kind] if kind != "person" else GIVEN_PERSON
         spans = F.transform(matches(text, pattern), voted(kind, rank)).cast(CANDIDATE)
         found[kind] = F.when(text.contains(NEEDS[kind]), spans).otherwise(F.array().cast(CANDIDATE)) if kind in NEEDS else spans
+    told = F.filter(F.transform(matches(text, TOLD_PERSON), voted("person", KINDS.index("person"))).cast(CANDIDATE), lambda m: m["context"] == 1)
+    found["person"] = let(found["person"], lambda own: F.concat(own, F.filter(told, lambda m: ~F.exists(own, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))))
     base = F.filter(F.concat(*[found[k] for k in BASE]), lambda s: s["regex"] == 1)
     more = F.concat(*[found[k] for k in MORE])
     return let(base, lambda b: F.concat(b, F.filter(more, lambda m: ~F.exists(b, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))))

@@ -64,7 +64,7 @@ STAGES = [
     ("length_packing", length_packing),
 ]
 
-#: SQL cannot express the trained and iterative stages; tests/llm/test_pipeline.py holds run() against brute force.
+#: SQL cannot express the trained and iterative stages; tests/llm/test_pipeline.py holds them and the documents of run() against brute force.
 ORACLE_SQL = None
 
 

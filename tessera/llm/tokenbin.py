@@ -100,58 +100,84 @@ class Encoder:
 
     The pre-tokenizer always cuts before a space, and around a line end, that stands alone between other characters, so a text
     without two white-space characters in a row is encoded as its words, each with the space or the line end before it. Arrow
-    splits texts, lists their distinct words and gathers the words' ids. Words come from a table; a full one becomes the older
-    of two generations. New words are encoded together, one a line: their ids are the library's, whatever the order. A word
-    that is empty or has white space at an end is None in the table, and its text is given to the library whole.
+    splits texts, lists their distinct words, finds these in the table and gathers their ids; only new words become Python objects, some thousands at a time.
+    The table is two Arrow arrays, words and their ids; once it has more than `many` words it starts again from those of the
+    portion at hand, which has all frequent ones. New words are encoded together, one a line: their ids are the library's,
+    whatever the order. A word that is empty or has white space at an end has null ids, and its text is given to the library
+    whole.
     """
 
-    many, together = 1_000_000, 8_000
+    many, together = 800_000, 8_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         self.line = self._whole("\n")
         #: Whether the tokenizer cuts as said.
         self.cuts = len(self.line) == 4 and self._whole("a's b,\n12 x") == b"".join(map(self._whole, ("a's", " b,", "\n", "12", " x")))
 
+    def _numbers(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        """Words, with a line end before them or else a space that is left out."""
-        known, lines = self.known, {}
-        for w in new:
-            core = w[1:] if w[:1] == "\n" else w
-            if not core or core[0].isspace() or core[-1].isspace():
-                known[w] = None
-            elif "<|" in core:  # special tokens may be in any word
-                known[w] = self.line + self._whole(core) if w[0] == "\n" else self._whole(" " + w)
-            else:
-                lines[w] = core if w[0] == "\n" else " " + w
-        words, end = list(lines), int.from_bytes(self.line, "little")
-        for i in range(0, len(words), self.together):
-            own = words[i : i + self.together]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([lines[w] for w in own])], add_special_tokens=False)[0].ids, "<u4")
-            ends = 4 * np.flatnonzero(ids == end)
-            if len(ends) != len(own) - 1:
-                parts = [self._whole(lines[w]) for w in own]
+        return self._numbers(text).tobytes()
+
+    def _lines(self, lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all lines in one array, and how many each has. Lines are not empty and have no line end."""
+        end, ids, counts = int.from_bytes(self.line, "little"), [], []
+        for i in range(0, len(lines), self.together):
+            own = lines.slice(i, self.together)
+            found = self._numbers("\n".join(own.to_pylist()))
+            ends = np.flatnonzero(found == end)
+            if len(ends) == len(own) - 1:
+                ids.append(found[found != end])
+                counts.append(np.diff(np.concatenate([[-1], ends, [len(found)]])) - 1)
             else:
-                data = ids.tobytes()
-                parts = list(map(data.__getitem__, map(slice, [0, *(ends + 4).tolist()], [*ends.tolist(), len(data)])))
-            known.update((w, self.line + x if w[0] == "\n" else x) for w, x in zip(own, parts, strict=True))
-
-    def _ids(self, words: list[str]) -> list[bytes | None]:
-        if new := [w for w in words if w not in self.known]:
-            if len(self.known) + len(new) > self.many:
-                self.older, self.known, new = self.known, {}, words
-            older = self.older
-            self.known.update((w, older[w]) for w in new if w in older)
-            self._learn([w for w in new if w not in self.known])
-        return list(map(self.known.__getitem__, words))
+                each = [self._numbers(x) for x in own.to_pylist()]
+                ids.extend(each)
+                counts.append(np.array([len(x) for x in each], np.int64))
+        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.empty(0, "<u4"), np.empty(0, np.int64))
+
+    def _learn(self, new: pa.Array) -> pa.Array:
+        """The ids of words, with a line end before them or else a space that is left out; null where the text must go whole."""
+        broken = pc.starts_with(new, "\n")
+        core = pc.ascii_ltrim(new, "\n")
+        plain = pc.and_(pc.not_equal(core, ""), pc.equal(core, pc.utf8_trim_whitespace(core)))
+        special = pc.and_(plain, pc.match_substring(core, "<|"))  # special tokens may be in any word
+        plain = pc.and_not(plain, special).to_numpy(zero_copy_only=False)
+        lines = pc.if_else(broken, core, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), core, pa.scalar(" ", pa.large_string())))
+        ids, counts = self._lines(lines.filter(plain))
+        # where the line end goes before a word's ids, it is set in front of them
+        first = broken.to_numpy(zero_copy_only=False)[plain].astype(np.int64)
+        stops = np.cumsum(counts + first)
+        data = np.full(int(stops[-1]) if len(stops) else 0, int.from_bytes(self.line, "little"), "<u4")
+        data[np.arange(len(ids)) + np.repeat(np.cumsum(first), counts)] = ids
+        own = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], 4 * stops]).astype(np.int64)), pa.py_buffer(data)])
+        at = np.cumsum(plain) - 1
+        out = own.take(pa.array(at, mask=~plain)) if len(own) else pa.nulls(len(new), pa.large_binary())
+        odd = special.to_numpy(zero_copy_only=False)
+        if odd.any():
+            given = [self.line + self._whole(x[1:]) if x[0] == "\n" else self._whole(" " + x) for x in new.filter(odd).to_pylist()]
+            out = pc.replace_with_mask(out, odd, pa.array(given, pa.large_binary()))
+        return out
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where distinct words are in the table, after those that it lacks were added."""
+        found = pc.index_in(words, value_set=self.words)
+        if found.null_count:
+            new = words.filter(found.is_null())
+            ids = self._learn(new)
+            self.words, self.ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, ids])
+            at = found.to_numpy(zero_copy_only=False)
+            lacked = np.isnan(at)
+            at[lacked] = np.arange(len(self.words) - len(new), len(self.words))
+            found = pa.array(at.astype(np.int64))
+            if len(self.words) > self.many and len(self.words) > len(words):
+                self.words, self.ids, found = words, self.ids.take(found), pa.array(np.arange(len(words)))
+        return found.to_numpy(zero_copy_only=False)
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """Meant for some megabytes of texts at a time; null is empty."""
@@ -162,14 +188,19 @@ class Encoder:
         split = pc.split_pattern(marked, " ")
         coded, at = split.flatten().dictionary_encode(), split.offsets.to_numpy().astype(np.int64)
         del marked, split
-        ids = self._ids(coded.dictionary.to_pylist())
-        bad = np.array([x is None for x in ids], bool)
-        taken = pa.array([x or b"" for x in ids], pa.large_binary()).take(coded.indices)
+        own = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        taken = self.ids.take(pa.array(own))
         stops = (np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[at] if len(taken) else at).tolist()
         data = memoryview(taken.buffers()[2] or b"")
-        odd = (np.add.reduceat(bad[coded.indices.to_numpy()], at[:-1]) > 0).tolist() if bad.any() else [False] * len(texts)
+        if taken.null_count:
+            odd = (np.add.reduceat(taken.is_null().to_numpy(zero_copy_only=False).astype(np.int64), at[:-1]) > 0).tolist()
+        else:
+            odd = [False] * len(texts)
         # the line end that each text was given goes
-        return [self._whole(texts[i].as_py()) if odd[i] else bytes(data[stops[i] + 4 : stops[i + 1]]) for i in range(len(texts))]
+        out = [self._whole(texts[i].as_py()) if odd[i] else bytes(data[stops[i] + 4 : stops[i + 1]]) for i in range(len(texts))]
+        del coded, taken, data
+        pa.default_memory_pool().release_unused()
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -178,7 +209,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def portions(batch: pa.RecordBatch, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about so many bytes in the second column, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0

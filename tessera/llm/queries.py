@@ -189,12 +189,21 @@ SQL: dict[str, str] = {
             SELECT doc_id, CAST(length(h) // 2 + 1 AS BIGINT) AS size,
                 xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(h, '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: xor(c // 256, t[CAST(xor(c, b) % 256 AS INTEGER) + 1])), 4294967295) AS text_crc32
             FROM bodies, crc
-        ), drawn AS (
-            SELECT *, list_transform(range(17), lambda i: CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || i), 1, 13) AS BIGINT)) AS d,
-                CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32), 1, 8) AS BIGINT) % (SELECT greatest(32, CAST(ceil(count(*) / 50000.0) AS BIGINT)) FROM documents) AS part
+        ), keyed AS (
+            SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') AS k, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32), 1, 8) AS BIGINT) % (SELECT greatest(32, CAST(ceil(count(*) / 50000.0) AS BIGINT)) FROM documents) AS part
             FROM sized
+        ), regions AS (
+            SELECT *, list_transform([0, 1, 2], lambda i: -ln((CAST('0x' || substr(md5(k || ':' || i), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / [8.0, 8.0, 1.0][i + 1]) AS d FROM keyed
+        ), region AS (
+            SELECT *, list_position(d[1:2], list_min(d[1:2])) - 1 AS r, d[3] < list_min(d[1:2]) AS moves FROM regions
+        ), racks AS (
+            SELECT *, list_transform([0, 1], lambda i: -ln((CAST('0x' || substr(md5(k || ':' || r || '.' || i), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / 4.0) AS e FROM region
+        ), rack AS (
+            SELECT *, list_position(e, list_min(e)) - 1 AS q FROM racks
+        ), leaves AS (
+            SELECT *, list_transform([0, 1, 2, 3], lambda i: -ln((CAST('0x' || substr(md5(k || ':' || r || '.' || q || '.' || i), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)) AS f FROM rack
         ), placed AS (
-            SELECT doc_id, size, text_crc32, part, CAST(list_position(d, list_max(d[1:16])) - 1 AS INTEGER) AS shard, CAST(list_position(d, list_max(d)) - 1 AS INTEGER) AS grown_shard FROM drawn
+            SELECT doc_id, size, text_crc32, part, CAST(8 * r + 4 * q + list_position(f, list_min(f)) - 1 AS INTEGER) AS shard, CAST(CASE WHEN moves THEN 16 ELSE 8 * r + 4 * q + list_position(f, list_min(f)) - 1 END AS INTEGER) AS grown_shard FROM leaves
         )
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM placed
     """,

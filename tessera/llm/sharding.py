@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, let
 
 #: A tree: regions, each a list of racks, each a list of shard weights. Shards are numbered from left to right.
 Tree = Sequence[Sequence[Sequence[float]]]
@@ -17,59 +17,51 @@ SIXTEEN: Tree = [[[1.0] * 4, [1.0] * 4], [[1.0] * 4, [1.0] * 4]]
 
 
 def grow(tree: Tree, weight: float = 1.0) -> Tree:
-    """The tree with one more shard, in the last rack."""
-    out = [[list(rack) for rack in region] for region in tree]
-    out[-1][-1].append(weight)
-    return out
+    """The tree with one more shard, in a region of its own: the draws of the other regions stay as they are."""
+    return [*tree, [[weight]]]
 
 
-def leaf_draw(key: Column, shard: int, weight: float) -> Column:
-    """An exponential variate with rate weight, from 52 bits of the MD5 of key and shard number; infinite for weight 0."""
-    if weight <= 0:
-        return F.lit(float("inf"))
-    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), F.lit(str(shard)))), 1, 13), 16, 10).cast("double")
-    return -F.log((bits + 0.5) / float(1 << 52)) / float(weight)
+def draw(key: Column, path: Column, weight: Column) -> Column:
+    """A node's draw for a key: an exponential variate with rate weight, from 52 bits of the MD5 of key and path; infinite for weight 0."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), path)), 1, 13), 16, 10).cast("double")
+    return F.when(weight > 0, -F.log((bits + 0.5) / float(1 << 52)) / weight).otherwise(float("inf"))
 
 
-def draws(key: Column, tree: Tree) -> Column:
-    """The leaf draws of a row, as one array in shard order."""
-    flat = [w for region in tree for rack in region for w in rack]
-    return F.array(*[leaf_draw(key, i, w) for i, w in enumerate(flat)])
+def descend(key: Column, tree: Tree) -> Column:
+    """Number of the shard in which the descent of a key ends.
 
+    At each level the row goes to the child with the least draw. Every node draws by its own path (`region`, `region.rack`,
+    `region.rack.shard`, counted from 0) and weight, that of all shards below it, so children get rows in proportion to their weights and
+    only the children of the nodes on the way draw. A change of a shard's weight alters the weights of that shard, its rack and its
+    region and no draw elsewhere: where the ways of a row that moves part, one of them goes on to one of these three. Ties go
+    to the lower number.
+    """
 
-def descend(leaves: Column, tree: Tree) -> Column:
-    """Shard that the descent ends in, given the array of leaf draws.
+    def whole(weights: list) -> Column:
+        return F.array(*[F.lit(float(w)) for w in weights])
 
-    A subtree's draw is the least of its leaves' draws, which is exponential with the subtree's total weight: at each
-    level the row goes to the child with the least draw, so children get rows in proportion to their weights. A change
-    of one leaf's weight alters the draws on the path to that leaf only; all rows that move enter or leave this leaf.
-    Ties go to the lower number.
-    """
+    racks = [[sum(rack) for rack in region] for region in tree]
+    numbers, after = [], 0
+    for region in tree:
+        numbers.append([after + sum(len(r) for r in region[:k]) for k in range(len(region))])
+        after += sum(len(r) for r in region)
 
-    def least(of: list[int]) -> Column:
-        return F.least(*[leaves[i] for i in of]) if len(of) > 1 else leaves[of[0]]
+    def least(path: Column | None, weights: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            own = i.cast("string") if path is None else F.concat(path, F.lit("."), i.cast("string"))
+            return F.struct(draw(key, own, w).alias("draw"), i.alias("i"))
 
-    def choose(children: list[tuple[list[int], Column]]) -> Column:
-        if len(children) == 1:
-            return children[0][1]
-        all_leaves = [i for own, _ in children for i in own]
-        out = None
-        for own, inner in children[:-1]:
-            here = least(own) == least(all_leaves)
-            out = F.when(here, inner) if out is None else out.when(here, inner)
-        return out.otherwise(children[-1][1])
+        return F.array_min(F.transform(weights, one))["i"]
 
-    number, regions = 0, []
-    for region in tree:
-        racks = []
-        for rack in region:
-            ids = list(range(number, number + len(rack)))
-            number += len(rack)
-            if ids:
-                racks.append((ids, choose([([i], F.lit(i)) for i in ids])))
-        if racks:
-            regions.append(([i for ids, _ in racks for i in ids], choose(racks)))
-    return choose(regions)
+    def in_region(r: Column) -> Column:
+        return let(least(r.cast("string"), F.array(*map(whole, racks))[r]), lambda k: in_rack(r, k))
+
+    def in_rack(r: Column, k: Column) -> Column:
+        weights = F.array(*[F.array(*map(whole, region)) for region in tree])[r][k]
+        first = F.array(*[F.array(*map(F.lit, own)) for own in numbers])[r][k]
+        return first + least(F.concat_ws(".", r.cast("string"), k.cast("string")), weights)
+
+    return let(least(None, whole([sum(own) for own in racks])), in_region)
 
 
 def part_of(key: Column, checksum: Column, parts: int) -> Column:
@@ -82,7 +74,8 @@ def shard(docs: DataFrame, tree: Tree = SIXTEEN, key: str = "doc_id", text: str
     """Place every row in a shard of the tree by its key, and number the rows of each shard without gaps.
 
     Returns key, size (UTF-8 bytes of the text plus 1; a null text has none), text_crc32, law ('key'), shard, slot (from 0,
-    in order of part, key and checksum) and grown_shard, the place in the tree with one more shard. A null key counts as
+    in order of part, key and checksum) and grown_shard, the place in the tree with one more shard, which
+    takes rows into itself only. A null key counts as
     the empty string. Repeated rows each get a slot of their own; columns besides key and text are ignored.
 
     Only the text's size and checksum leave the scan. Slots need no ordering of a whole shard: rows are counted by shard and
@@ -92,11 +85,10 @@ def shard(docs: DataFrame, tree: Tree = SIXTEEN, key: str = "doc_id", text: str
     more = grow(tree)
     slim = docs.select(F.col(key).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     parts = max(32, -(-docs.count() // rows_a_part))
-    drawn = slim.withColumn("_draws", draws(F.col("doc_id"), more))
     placed = cut(
-        drawn.select(
+        slim.select(
             "doc_id", "size", "text_crc32",
-            descend(F.col("_draws"), tree).cast("int").alias("shard"), descend(F.col("_draws"), more).cast("int").alias("grown_shard"),
+            descend(F.col("doc_id"), tree).cast("int").alias("shard"), descend(F.col("doc_id"), more).cast("int").alias("grown_shard"),
             part_of(F.col("doc_id"), F.col("text_crc32"), parts).alias("_part"),
         ),
         "placed",

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -97,11 +98,37 @@ def test_shards(spark):
     assert sharding.shard(docs.where("false")).collect() == []
 
 
-def test_weights_move_rows_of_their_leaf_only(spark):
-    tree = [[[1.0, 2.0], [1.0]], [[3.0]]]
-    heavier = [[[1.0, 2.0], [2.0]], [[3.0]]]
-    rows = spark.range(20000).withColumn("a", sharding.draws(F.col("id"), tree)).withColumn("b", sharding.draws(F.col("id"), heavier))
-    got = rows.select(sharding.descend(F.col("a"), tree).alias("x"), sharding.descend(F.col("b"), heavier).alias("y")).collect()
+def node_draw(key, path, weight):
+    bits = int(hashlib.md5(f"{key}:{path}".encode()).hexdigest()[:13], 16)
+    return -math.log((bits + 0.5) / 2**52) / weight if weight > 0 else math.inf
+
+
+def way(key, tree):
+    """The descent in plain Python: region, rack and place in the rack."""
+    r = min(range(len(tree)), key=lambda i: node_draw(key, i, sum(map(sum, tree[i]))))
+    k = min(range(len(tree[r])), key=lambda i: node_draw(key, f"{r}.{i}", sum(tree[r][i])))
+    return r, k, min(range(len(tree[r][k])), key=lambda i: node_draw(key, f"{r}.{k}.{i}", tree[r][k][i]))
+
+
+def test_descent_and_changed_weights(spark):
+    tree = [[[1.0, 2.0], [1.0, 0.0]], [[3.0, 1.0, 1.0], [2.0]], [[0.0]]]
+    heavier = [[[1.0, 2.0], [4.0, 0.0]], [[3.0, 1.0, 1.0], [2.0]], [[0.0]]]
+    flat = [w for region in tree for rack in region for w in rack]
+    numbers = {w: i for i, w in enumerate((r, k, s) for r, region in enumerate(tree) for k, rack in enumerate(region) for s in range(len(rack)))}
+    got = spark.range(20000).select("id", sharding.descend(F.col("id"), tree).alias("x"), sharding.descend(F.col("id"), heavier).alias("y"), sharding.descend(F.col("id"), sharding.grow(tree)).alias("g")).collect()
     share = Counter(r["x"] for r in got)
-    assert all(abs(share[i] / 20000 - w / 7) < 0.02 for i, w in enumerate((1, 2, 1, 3)))
-    assert {r["y"] for r in got if r["x"] != r["y"]} == {2}
+    assert all(abs(share[i] / 20000 - w / sum(flat)) < 0.02 for i, w in enumerate(flat)) and not {3, 8} & set(share)
+    # the tree matters: a flat draw by leaf sends rows elsewhere
+    paths = list(numbers)
+    single = [min(range(len(flat)), key=lambda i: node_draw(r["id"], ".".join(map(str, paths[i])), flat[i])) for r in got[:2000]]
+    assert sum(a != r["x"] for a, r in zip(single, got[:2000], strict=True)) > 500
+    moved = 0
+    for r in got:
+        old, new = way(r["id"], tree), way(r["id"], heavier)
+        assert (r["x"], r["y"]) == (numbers[old], numbers[new]) and r["g"] in (r["x"], len(flat))
+        if old != new:
+            moved += 1
+            at = next(i for i in range(3) if old[i] != new[i])
+            # weights grew on the way 0, 0.1, 0.1.0 only: a row that moves goes over to a node of it
+            assert new[: at + 1] == (0, 1, 0)[: at + 1]
+    assert 2000 < moved < 8000

@@ -72,7 +72,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_blob_ledger": op10_blob_ledger,
 }
 
+
+
+def _packing_sql(buckets: int = 16, budget: int = 32_768) -> str:
+    """The recurrence of packing.boundaries, one table for each layer, and the way back through them."""
+    layers, back = ["l0 AS (SELECT 0 AS j, CAST(0 AS BIGINT) AS v, 0 AS i)"], [f"b{buckets} AS (SELECT m AS j FROM top)"]
+    for k in range(1, buckets + 1):
+        layers.append(
+            f"l{k} AS (SELECT j, s.v AS v, s.i AS i FROM (SELECT c.j, min({{'v': p.v + c.edge * (c.n - coalesce(d.n, 0)), 'i': p.j}}) AS s FROM cells c JOIN l{k - 1} p ON p.j < c.j LEFT JOIN cells d ON d.j = p.j GROUP BY c.j))"
+        )
+    for k in range(buckets, 0, -1):
+        # with fewer lengths than buckets the last layers are empty, and the way back begins below them
+        back.append(f"b{k - 1} AS (SELECT coalesce((SELECT i FROM l{k} JOIN b{k} USING (j)), (SELECT j FROM b{k})) AS j)")
+    ends = " UNION ".join(f"SELECT j FROM b{k} WHERE j > 0" for k in range(1, buckets + 1))
+    return rf"""
+        WITH lengths AS (
+            SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '')) + 1 AS BIGINT) AS n_tokens FROM documents
+        ), cells AS (
+            SELECT row_number() OVER (ORDER BY n_tokens) AS j, n_tokens AS edge, CAST(sum(count(*)) OVER (ORDER BY n_tokens) AS BIGINT) AS n FROM lengths GROUP BY n_tokens
+        ), top AS (
+            SELECT max(j) AS m FROM cells
+        ), {", ".join(layers)}, {", ".join(back)}, buckets AS (
+            SELECT CAST(row_number() OVER (ORDER BY edge) - 1 AS INTEGER) AS bucket, edge AS boundary, coalesce(lag(edge) OVER (ORDER BY edge), 0) AS under FROM cells WHERE j IN ({ends})
+        ), dealt AS (
+            SELECT doc_id, n_tokens, bucket, boundary, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || n_tokens), 1, 8) AS BIGINT) % (SELECT greatest(32, CAST(ceil(count(*) / 50000.0) AS BIGINT)) FROM documents) AS part
+            FROM lengths JOIN buckets ON n_tokens <= boundary AND n_tokens > under
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY part, doc_id NULLS FIRST, n_tokens) - 1 AS rank, greatest(1, {budget} // boundary) AS room FROM dealt
+        )
+        SELECT doc_id, n_tokens, bucket, boundary, rank // room AS batch, CAST(rank % room AS INTEGER) AS place FROM ranked
+    """
+
+
 SQL: dict[str, str] = {
+    "op6_length_packing": _packing_sql(),
     "op2_adaptive_prefixes": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents

@@ -54,10 +54,10 @@ def test_boundaries_are_optimal():
     rng = random.Random(3)
     for k in (1, 2, 3, 4):
         lengths = [rng.randint(1, 60) for _ in range(40)]
-        cells = [(v, n, v * n) for v, n in Counter(lengths).items()]
+        cells = list(Counter(lengths).items())
         best = min(padding(lengths, [*c, max(lengths)]) for c in combinations(sorted(set(lengths))[:-1], k - 1))
         assert padding(lengths, packing.boundaries(cells, k)) == best
-    assert packing.boundaries([], 3) == [] and packing.boundaries([(5, 1, 5)], 3) == [5]
+    assert packing.boundaries([], 3) == [] and packing.boundaries([(5, 1)], 3) == [5]
 
 
 def test_pack(spark):
@@ -78,9 +78,32 @@ def test_pack(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_cells_hold_lengths(spark):
-    rows = spark.range(1, 5000).select("id", packing.cell(F.col("id")).alias("c")).collect()
-    assert all(r["id"] <= r["c"] <= r["id"] * (1 + 1 / 64) + 1 for r in rows) and len({r["c"] for r in rows}) < 64 * 8
+def test_boundaries_of_long_histograms():
+    """Against the plain recurrence, with lengths over every power of two and ties."""
+    rng = random.Random(8)
+    for size, k in ((1, 4), (3, 4), (300, 5), (700, 16)):
+        cells = sorted({rng.randint(1, 2 ** rng.randint(1, 20)): rng.choice([1, 1, 2, 50, 10**9]) for _ in range(size)}.items())
+        n = [0, *(sum(c[1] for c in cells[: j + 1]) for j in range(len(cells)))]
+        best = [0] + [math.inf] * len(cells)
+        for _ in range(min(k, len(cells))):
+            best = [math.inf] + [min(best[i] + cells[j - 1][0] * (n[j] - n[i]) for i in range(j)) for j in range(1, len(cells) + 1)]
+        edges = packing.boundaries(cells, k)
+        assert len(edges) == min(k, len(cells)) and edges[-1] == cells[-1][0]
+        assert sum(c * min(e for e in edges if e >= v) for v, c in cells) == best[-1]
+
+
+def test_padded_batches(spark):
+    rows = [(i, [i + 1] * (i % 9) if i % 5 else None, "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, ids array<int>, mask string")
+    packed = packing.pack(docs, buckets=3, budget=32, length=F.greatest(F.lit(1), F.coalesce(F.size("ids"), F.lit(0))).cast("long"), keep=("ids", "mask"))
+    assert {(r["doc_id"], r["mask"]) for r in packed.collect()} == {(i, "x") for i in range(60)}
+    out = packing.padded(packed, "ids").collect()
+    assert sorted([x for x, m in zip(r["ids"], r["mask"], strict=True) if m] for r in out) == sorted(ids or [] for _, ids, _ in rows)
+    sizes = defaultdict(set)
+    for r in out:
+        sizes[r["bucket"]].add(len(r["ids"]))
+        assert all(x == 0 for x, m in zip(r["ids"], r["mask"], strict=True) if not m)
+    assert all(len(s) == 1 for s in sizes.values()) and len(sizes) == 3
 
 
 def test_shards(spark):

@@ -65,8 +65,10 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 def read_back(transcripts: DataFrame, examples: DataFrame) -> DataFrame:
     """DIGEST of each conversation, parsed from the formatted output.
 
-    Roles and texts are cut from the formatted turns and unescaped; trainable text is cut at the examples' loss ranges. Each
-    task streams its conversations in order and keeps three hashes, whatever their length.
+    Roles and texts are cut from the formatted turns and unescaped. Each example is read from its own record: its text is the
+    transcript up to its length, which must end with the turn that it targets, and its trainable text is cut at its loss range; a
+    record that doesn't fit its transcript raises ValueError. A task streams its conversations in order and keeps two hashes,
+    whatever their length; as the digests are those of whole conversations, one conversation is one task's work here.
     """
     inner = F.substring(F.col("formatted"), F.lit(len(START) + 1), F.length("formatted") - len(START) - len(END) - 1)
     role = F.substring_index(inner, "\n", 1)
@@ -77,7 +79,7 @@ def read_back(transcripts: DataFrame, examples: DataFrame) -> DataFrame:
     cut_from = (F.col("e.loss_start") - F.col("t.start") + 1).cast("int")
     loss = F.when(F.col("e.target").isNotNull(), unescape(F.substring(F.col("formatted"), cut_from, (F.col("e.loss_end") - F.col("e.loss_start")).cast("int"))))
     rows = t.join(e, F.col("t.conv_id").eqNullSafe(F.col("e.conv_id")) & (F.col("t.place") == F.col("e.target")), "left").select(
-        F.col("t.conv_id").alias("conv_id"), F.col("t.place").alias("place"), F.concat(plain_role, F.lit("\n"), unescape(body), F.lit("\n")).alias("turn"), loss.alias("loss"), F.length("formatted").alias("chars")
+        F.col("t.conv_id").alias("conv_id"), F.col("t.place").alias("place"), F.concat(plain_role, F.lit("\n"), unescape(body), F.lit("\n")).alias("turn"), loss.alias("loss"), F.length("formatted").alias("chars"), F.col("e.length").alias("length")
     )
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +92,7 @@ def read_back(transcripts: DataFrame, examples: DataFrame) -> DataFrame:
                 out.append((at, n, turns.hexdigest(), loss_chars, losses.hexdigest(), chars))
 
         for batch in batches:
-            for conv, turn, own, chars in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+            for conv, turn, own, chars, length in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
                 if state is None or conv != at:
                     close()
                     at, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -100,6 +102,8 @@ def read_back(transcripts: DataFrame, examples: DataFrame) -> DataFrame:
                     state[2] += len(own)
                     state[3].update(own.encode())
                 state[4] += chars
+                if length is not None and length != state[4]:
+                    raise ValueError("an example must end with the turn that it targets")
             if len(out) > 1000:
                 yield _batch(out)
                 out.clear()

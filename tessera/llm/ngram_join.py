@@ -131,23 +131,30 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, light: int = 64, fir
     prefixes of the two levels, as so many p more than p. These three only shift work.
 
     Returns a row for each row of docs: key, n_shingles, class_id (the least key with the same set) and component_id (the least
-    key reachable by links). A null or empty text, or one without words, has no shingles and links with nothing; a null key
-    gets a row with null ids; rows that repeat a key are one document of the texts' sets together, and must not differ.
+    key reachable by links). A null or empty text, or one without words, has no shingles and links with nothing. Each row is a
+    document of its own, also where rows share a key: two rows with one key and different texts are linked only by their texts. A null
+    key takes part like any other; least keys are those of the keys that are there, null if none is.
 
-    Documents with equal sets are one class (by two 64-bit hashes of the set), and only its least key takes part. Prefixes
-    are written; shingles of whole sets are made again for the documents of pairs only. Components are computed by contraction.
+    Documents with equal sets are one class (by two 64-bit hashes of the set), numbered by its first row, and only that row takes
+    part. Prefixes are written; shingles of whole sets are made again for the classes of pairs only. Components are computed by
+    contraction.
     """
     slim = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     made = slim.select("id", let(shingles(F.col("text"), size), lambda s: F.struct(F.size(s).alias("n"), F.xxhash64(s).alias("f"), F.xxhash64(F.reverse(s)).alias("g"), F.slice(s, F.lit(1), F.greatest(F.lit(1), prefix(F.size(s), percent, first))).alias("toks"))).alias("s"))
-    held = cut(made.select("id", "s.*"), "sets", "lz4")
-    classes = cut(held.where("n > 0").groupBy("n", "f", "g").agg(F.min("id").alias("rep")), "classes")
-    reps = held.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "toks")
+    held = cut(made.select("id", F.monotonically_increasing_id().alias("row"), "s.*"), "sets", "lz4")
+    classes = cut(held.where("n > 0").groupBy("n", "f", "g").agg(F.min("id").alias("rep"), F.min("row").alias("node")), "classes")
+    reps = held.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "n", "toks")
 
     pairs, odd = probe(reps, percent, first, light)
     pairs, odd = cut(pairs, "pairs", release=True), cut(odd, "odd")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(odd.select("id")).distinct()
-    # by sort and merge at every size: ids grow with the input
-    whole = slim.hint("merge").join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).select("id", shingles(F.col("text"), size).alias("toks")).select("id", F.size("toks").alias("n"), "toks")
+    # by sort and merge at every size: what is wanted grows with the input
+    wanted = held.join(ids.withColumnRenamed("id", "row"), "row").select(F.coalesce("id", F.lit(0)).alias("key"), F.col("id").isNull().alias("none"), "row", "f", "g")
+    keyed = slim.select(F.coalesce("id", F.lit(0)).alias("key"), F.col("id").isNull().alias("none"), "text")
+    whole = keyed.hint("merge").join(wanted.hint("merge"), ["key", "none"]).select("key", "none", "row", "f", "g", shingles(F.col("text"), size).alias("toks"))
+    # rows that share a key may have other texts, or the same one again
+    whole = whole.where((F.xxhash64("toks") == F.col("f")) & (F.xxhash64(F.reverse("toks")) == F.col("g"))).dropDuplicates(["key", "none", "row"])
+    whole = whole.select(F.col("row").alias("id"), F.size("toks").alias("n"), "toks")
     whole = cut(whole, "whole", "lz4", release=True)
     edges = cut(verify(pairs, whole, percent), "links")
     if not odd.isEmpty():
@@ -157,7 +164,7 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, light: int = 64, fir
         if not rest.isEmpty():
             edges = _groups(rest, edges, whole, percent)
     roots = components(edges)
-    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f", "g", "rep", F.coalesce("root", "rep").alias("root"))
+    named = classes.join(roots, "node", "left").select("n", "f", "g", "rep", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "root").select("n", "f", "g", "rep", "component_id")
     return held.select("id", "n", "f", "g").join(named, ["n", "f", "g"], "left").select(

@@ -57,8 +57,9 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     order; code points, end exclusive); news is what to append to the ledger, with a row for each newly scanned pair, hits or
     not. Repeated rows, and one path with many contents, give rows of their own; a null path is a path.
 
-    A blob's text is taken from one of its paths, so copies cost a join on small rows only and a content with very many
-    copies is scanned once. Findings go back to paths by blob: an inner join that Spark may split when it is skewed.
+    Texts are shuffled once, by path and blob, to those of their rows that are to be scanned; a content with very many copies is
+    scanned once, and where the ledger has all pairs no text is shuffled at all. Findings go back to paths by blob, a join of
+    small rows that Spark may split when it is skewed.
     """
     spark = versions.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -71,7 +72,9 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         unseen = blobs.withColumn("rules", F.array(*[F.lit(r.kind) for r in rules]))
     else:
         pairs = blobs.select("blob", "path", F.explode(todo).alias("r")).select("blob", "path", "r.rule", "r.version")
-        unseen = pairs.join(ledger, ["blob", "rule", "version"], "left_anti").groupBy("blob", "path").agg(F.collect_set("rule").alias("rules"))
+        unseen = cut(pairs.join(ledger, ["blob", "rule", "version"], "left_anti").groupBy("blob", "path").agg(F.collect_set("rule").alias("rules")), "unseen")
+        if unseen.isEmpty():
+            held = held.where("false")
     # one source row for a blob: rows that repeat both path and text are scanned more than once, and the first result is kept
     source = held.alias("h").join(unseen.alias("u"), F.col("h.path").eqNullSafe(F.col("u.path")) & (F.col("h.blob") == F.col("u.blob"))).select("h.blob", "h.text", "u.rules")
     none = F.array().cast("array<struct<start:int,end:int>>")

@@ -6,9 +6,11 @@ that is the minimizer of some string, and equal strings have equal anchors:
 
 1. Anchors (about one in 18 bytes) are dealt by hash; those whose gram is in one document only are dropped.
 2. Around each anchor that is left its context is cut out: the strings that it is the minimizer of, which are neighbours.
-3. Contexts are range-partitioned by the anchor's leading bytes with sampled splitters. In each range all suffixes that start a
-   string are sorted by multikey quicksort on words of 8 bytes, down to LENGTH bytes; runs of equal suffixes get their least id.
-   Equal leading bytes lie in one range, so no run crosses a boundary.
+3. Equal contexts are folded to one with their least document before they are shuffled, so a passage that very many documents
+   share is some rows. Folded ones are range-partitioned by the anchor's leading bytes with sampled splitters. In each range all
+   suffixes that start a string are sorted by multikey quicksort on words of 8 bytes, down to LENGTH bytes; runs of equal
+   suffixes get their least id. Equal leading bytes lie in one range, so no run crosses a boundary. What each kind of context
+   loses is joined back to the documents that hold it.
 4. Strings with a lesser id than their document's are removed from it.
 """
 
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ STRINGS = LENGTH - GRAM + 1
 PIECE = 1 << 19
 #: Contexts whose suffixes are sorted at once, or those of one gram.
 KINDS = 20_000
+#: Contexts that are folded at once before they are shuffled.
+KINDS_FOLDED = 200_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 NONE = -(1 << 63)
 
@@ -175,7 +180,8 @@ BUCKET = "bucket int, payload binary"
 FLAG = "bucket int, payload binary"
 PLACES = "t64 long, at array<int>"
 CONTEXT = "lead long, raw binary, off int, id long, t64 long, start int"
-SPAN = "id long, t64 long, start int, stop int"
+FOLDED = "lead long, k long, raw binary, off int, least long, most long"
+KIND = "lead long, k long, least long, starts array<int>, stops array<int>"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -315,55 +321,93 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 })
 
 
+def _folded(raw: pa.Array, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each context's kind (equal bytes and place of the anchor), and the first context of each kind."""
+    marks = pa.Array.from_buffers(pa.binary(), len(off), [None, pa.py_buffer(np.arange(len(off) + 1, dtype=np.int32)), pa.py_buffer(off.astype(np.uint8))])
+    kind = pc.binary_join_element_wise(raw, marks, pa.scalar(b"", pa.binary())).dictionary_encode().indices.to_numpy().astype(np.int64)
+    first = np.empty(int(kind.max()) + 1, np.int64)
+    first[kind[::-1]] = np.arange(len(kind))[::-1]
+    return kind, first
+
+
+def _bounds(kind: np.ndarray, kinds: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least of low and the greatest of high of each kind."""
+    least, most = np.full(kinds, np.iinfo(np.int64).max), np.full(kinds, np.iinfo(np.int64).min)
+    np.minimum.at(least, kind, low)
+    np.maximum.at(most, kind, high)
+    return least, most
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts (lead, k, raw, off, id), equal ones of some hundred thousand as one with their least and greatest id."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        lead, k, raw, off, ids = (rows.column(i).combine_chunks() for i in range(5))
+        kind, first = _folded(raw, off.to_numpy())
+        least, most = _bounds(kind, len(first), ids.to_numpy(), ids.to_numpy())
+        at = pa.array(first)
+        return pa.RecordBatch.from_pydict({"lead": lead.take(at), "k": k.take(at), "raw": raw.take(at), "off": off.take(at), "least": least, "most": most})
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= KINDS_FOLDED:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a range of leading bytes, the stretches to remove.
+    """Of a range of leading bytes with folded contexts, the kinds that have something to remove (KIND).
 
-    Contexts that are equal go with the least id of theirs. What is left is one context of each kind; where its gram has only
-    one kind nothing is to compare, else its suffixes are sorted with the others of the range.
+    A kind goes whole from documents with more than its least id. What is left is one context of each kind; where its gram has
+    only one kind nothing is to compare, else its suffixes are sorted with the others of the range, and stretches that start in
+    a document with a lesser id go from the kind's least document.
     """
-    kinds: dict[bytes, int] = {}
-    kind, ids, hashes, starts = [], [], [], []
-    for batch in batches:
-        raw, off = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        kind.append(np.array([kinds.setdefault(r + bytes((o,)), len(kinds)) for r, o in zip(raw, off, strict=True)], np.int64))
-        for held, k in ((ids, 3), (hashes, 4), (starts, 5)):
-            held.append(batch.column(k).to_numpy(zero_copy_only=False))
-    if not kinds:
+    rows = list(batches)
+    if not sum(b.num_rows for b in rows):
         return
-    kind, ids, hashes, starts = np.concatenate(kind), np.concatenate(ids), np.concatenate(hashes), np.concatenate(starts).astype(np.int64)
-    names = list(kinds)
-    sizes = np.array([len(x) - 1 for x in names])
-    least = np.full(len(names), np.iinfo(np.int64).max)
-    np.minimum.at(least, kind, ids)
-    whole = np.flatnonzero(ids > least[kind])
-    out = [(ids[whole], hashes[whole], starts[whole], starts[whole] + sizes[kind[whole]])]
-    grams: dict[bytes, int] = {}
-    gram = np.array([grams.setdefault(x[x[-1] : x[-1] + GRAM], len(grams)) for x in names])
-    del kinds, grams
-    mixed = np.flatnonzero(np.bincount(gram)[gram] > 1)
-    mixed = mixed[np.argsort(gram[mixed], kind="stable")]
-    found = []
+    table = pa.Table.from_batches(rows).combine_chunks()
+    lead, k, raw, off, low, high = (table.column(i).combine_chunks() for i in range(6))
+    del rows, table
+    kind, first = _folded(raw, off.to_numpy())
+    least, most = _bounds(kind, len(first), low.to_numpy(), high.to_numpy())
+    at = pa.array(first)
+    lead, k, raw, off = (x.take(at) for x in (lead, k, raw, off))
+    # the gram: the leading bytes, which are the lead, and the others
+    data, places = np.frombuffer(raw.buffers()[2], np.uint8), np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1)[:-1] + off.to_numpy()
+    second = np.zeros(len(raw), np.uint64)
+    for i in range(8, GRAM):
+        second = (second << np.uint64(8)) | data[places + i]
+    head = lead.to_numpy()
+    order = np.lexsort((second, head))
+    new = np.concatenate([[True], (head[order][1:] != head[order][:-1]) | (second[order][1:] != second[order][:-1])])
+    sizes = np.diff(np.append(np.flatnonzero(new), len(order)))
+    mixed = order[np.repeat(sizes > 1, sizes)]
+    ends = np.cumsum(sizes[sizes > 1]).tolist()
+    found, start = [], 0
     # some grams at a time: what has equal suffixes here has equal grams
-    ends = np.flatnonzero(np.append(gram[mixed][1:] != gram[mixed][:-1], True)) + 1 if len(mixed) else []
-    at = 0
     for i, end in enumerate(ends):
-        if end - at >= KINDS or i == len(ends) - 1:
-            part = mixed[at:end]
-            which, x, y = removed([names[k][:-1] for k in part], least[part], np.zeros(len(part), np.int64))
+        if end - start >= KINDS or i == len(ends) - 1:
+            part = mixed[start:end]
+            which, x, y = removed(raw.take(pa.array(part)).to_pylist(), least[part], np.zeros(len(part), np.int64))
             found.append((part[which], x, y))
-            at = end
-    if found:
-        which, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        # a kind's stretches go from each of its least document's places
-        order = np.argsort(which, kind="stable")
-        which, a, b = which[order], a[order], b[order]
-        holders = np.flatnonzero(ids == least[kind])
-        x, y = np.searchsorted(which, kind[holders]), np.searchsorted(which, kind[holders], "right")
-        rows = np.repeat(holders, y - x)
-        spot = np.arange(len(rows)) - np.repeat(np.cumsum(y - x) - (y - x), y - x) + np.repeat(x, y - x)
-        out.append((ids[rows], hashes[rows], starts[rows] + a[spot], starts[rows] + b[spot]))
-    own, t64, start, stop = (np.concatenate(x) for x in zip(*out, strict=True))
-    yield pa.RecordBatch.from_pydict({"id": own, "t64": t64, "start": pa.array(start.astype(np.int32)), "stop": pa.array(stop.astype(np.int32))})
+            start = end
+    which, x, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+    order = np.lexsort((x, which))
+    which, x, y = which[order], x[order], y[order]
+    told = np.flatnonzero((most > least) | np.isin(np.arange(len(least)), which))
+    for i in range(0, len(told), 10_000):
+        own = told[i : i + 10_000]
+        a, b = np.searchsorted(which, own), np.searchsorted(which, own, "right")
+        stops = np.concatenate([[0], np.cumsum(b - a)])
+        spot = np.arange(stops[-1]) + np.repeat(a - stops[:-1], b - a)
+        lists = [pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(v[spot].astype(np.int32))) for v in (x, y)]
+        yield pa.RecordBatch.from_arrays([lead.take(pa.array(own)), k.take(pa.array(own)), pa.array(least[own]), *lists], names=["lead", "k", "least", "starts", "stops"])
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,22 +437,32 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     Texts that equal a text with a lesser key go whole by their SHA-256 (if they have 50 bytes) and take no further part. Texts are
     shuffled twice, to cut contexts and to remove stretches; anchors and contexts are dealt by their content. A gram's contexts
-    meet in one task: after equal ones are counted as one that is as many as differ around it.
+    meet in one task, equal ones as one: that is as many as differ around it.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(NONE).cast("long")).alias("id"), F.xxhash64(body).alias("t64"), body.alias("text"))
     heads = cut(slim.select("doc_id", "id", "t64", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "heads")
     first = cut(heads.groupBy("sha").agg(F.min(F.struct("id", "t64")).alias("f")).select("sha", "f.id", "f.t64"), "first")
 
+    # a bucket is held by one worker: so many that each has the anchors of some 64 MB of text at most
+    total = heads.agg(F.sum("n_bytes")).collect()[0][0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (64 << 20)))
     dealt = slim.where(F.octet_length("text") >= LENGTH).select("t64", "text").mapInArrow(_deal(buckets), BUCKET)
     flags = dealt.repartition(buckets, "bucket").mapInArrow(_flag(buckets), FLAG)
     places = cut(flags.repartition(buckets, "bucket").mapInArrow(_gather, PLACES), "places", release=True)
     wanted = places.join(first.select("t64", "id"), "t64")
     held = slim.join(wanted, ["id", "t64"]).select("id", "t64", "text", "at").mapInArrow(_contexts, CONTEXT)
     contexts = cut(held, "contexts", release=True)
-    spans = cut(contexts.repartitionByRange(buckets, "lead").mapInArrow(_resolve, SPAN), "spans", release=True)
+    k = F.xxhash64("raw", "off").alias("k")
+    folded = contexts.select("lead", k, "raw", "off", "id").mapInArrow(_fold, FOLDED)
+    kinds = cut(folded.repartitionByRange(buckets, "lead").mapInArrow(_resolve, KIND), "kinds", release=True)
+    # back to the documents: a kind is told by its lead and a hash, 128 bits in all
+    holders = contexts.select("lead", k, F.octet_length("raw").alias("size"), "id", "t64", "start").join(kinds, ["lead", "k"])
+    whole = F.array(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("size")).alias("stop")))
+    parts = F.zip_with("starts", "stops", lambda x, y: F.struct((F.col("start") + x).alias("start"), (F.col("start") + y).alias("stop")))
+    found = holders.select("id", "t64", F.explode(F.when(F.col("id") > F.col("least"), whole).otherwise(parts)).alias("s"))
+    spans = cut(found.select("id", "t64", "s.start", "s.stop"), "spans", release=True)
     stretches = spans.groupBy("id", "t64").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     touched = slim.join(stretches, ["id", "t64"]).select("doc_id", "text", "starts", "stops").mapInArrow(_apply, RESULT)
     named = heads.join(first.select("sha", F.col("id").alias("least")), "sha")

@@ -108,14 +108,20 @@ def test_contexts_in_parts(monkeypatch):
     texts = [t[: rng.randint(100, 300)] + rng.choice("xyz") + t[rng.randint(0, 100) :] for t in base * 5]
     at = pa.array([sorted({int(p + a - f) for _, aa, ff, _, _, pp, _ in suffix_dedup.anchors([t.encode()]) for a, f, p in zip(aa, ff, pp, strict=True)}) for t in texts], pa.list_(pa.int32()))
     rows = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(range(30)), pa.array(texts), at], names=["id", "t64", "text", "at"])
-    contexts = list(suffix_dedup._contexts(iter([rows])))
+    contexts = pa.Table.from_batches(suffix_dedup._contexts(iter([rows])))
+    numbers = {}
+    k = pa.array([numbers.setdefault((r, o), len(numbers)) for r, o in zip(contexts["raw"].to_pylist(), contexts["off"].to_pylist(), strict=True)], pa.int64())
+    batches = contexts.select(["lead"]).append_column("k", k).append_column("raw", contexts["raw"]).append_column("off", contexts["off"]).append_column("id", contexts["id"]).to_batches(max_chunksize=11)
 
     def resolve():
-        return sorted(tuple(r.values()) for b in suffix_dedup._resolve(iter(contexts)) for r in b.to_pylist())
+        folded = list(suffix_dedup._fold(iter(batches)))
+        return len(folded), sorted(str(tuple(r.values())) for b in suffix_dedup._resolve(iter(folded)) for r in b.to_pylist())
 
     whole = resolve()
     monkeypatch.setattr(suffix_dedup, "KINDS", 1)
-    assert whole and resolve() == whole
+    monkeypatch.setattr(suffix_dedup, "KINDS_FOLDED", 20)
+    parts = resolve()
+    assert whole[1] and parts[1] == whole[1] and whole[0] == 1 < parts[0]
 
 
 def test_multikey_runs():

@@ -72,12 +72,12 @@ def weighted_jaccard(a: Column, b: Column, weights: Column, other: Column) -> Co
     return F.when(~F.arrays_overlap(a, b), 0.0).when(single(a) & single(b), sets).otherwise(let(F.transform(F.array_union(a, b), tally), ratio))
 
 
-def find(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24, slack: int = 2, key: str = "doc_id", item: str = "item_id", text: str = "text", broadcast_shingles: int = 1_000_000) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24, slack: int = 2, key: str = "doc_id", item: str = "item_id", text: str = "text", broadcast_shingles: int = 1_000_000, windows_a_part: int = 2000) -> DataFrame:
     """Windows of documents that are near a benchmark item: a row (HIT) for each document and item, with the best window.
 
     Texts are lower-cased and cut at white space; punctuation stays. An item of n words is held against windows of n words:
     those at which a shared 5-word shingle (the whole item if it is shorter) lines up, and up to `slack` words to either side, for
-    words put in or left out. A window without a shared shingle has similarity 0, so this loses none. Its fingerprint is looked
+    words put in or left out; where the text ends a window has fewer words. A window without a shared shingle has similarity 0. Its fingerprint is looked
     up among those of the items of n words by blocks, which finds all within the radius; the similarity of these pairs is then
     computed exactly: weighted Jaccard of shingle counts, a shingle's weight being ln(1 + items / items that have it). The radius is
     wide, so that it loses next to no window of that similarity (see the README): pairs have a shingle to share, few are far.
@@ -111,21 +111,23 @@ def find(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0
     near = F.explode(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.transform(F.sequence(F.lit(-slack), F.lit(slack)), lambda d: F.struct(s["n"].alias("n"), F.greatest(F.lit(0), s["start"] + d).alias("start")))))))
     joined = slim.alias("d").join(starts.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))).select("d.doc_id", words(F.col("text")).alias("w"), "starts")
     spots = joined.select("doc_id", "w", near.alias("at")).select("doc_id", F.col("at.n").alias("n"), F.col("at.start").alias("start"), F.slice("w", F.col("at.start") + 1, F.col("at.n")).alias("ww")).where(F.size("ww") > 0)
-    windows = cut(spots.withColumn("print", simhash(F.col("ww"))), "windows")
+    windows = cut(spots.withColumn("window", F.monotonically_increasing_id()).withColumn("print", simhash(F.col("ww"))), "windows")
 
-    left = windows.select("*", F.explode(blocks(F.col("print"), radius)).alias("block"))
-    right = listed.select("row", "n", "size", "print", "grams", F.explode(blocks(F.col("print"), radius)).alias("block"))
+    left = windows.select("window", "n", "print", F.explode(blocks(F.col("print"), radius)).alias("block"))
+    right = listed.select("row", "n", "print", F.explode(blocks(F.col("print"), radius)).alias("block"))
     a, b = left.alias("a"), right.alias("b")
     distance = F.bit_count(F.col("a.print").bitwiseXOR(F.col("b.print"))).cast("int")
-    met = a.join(b.drop("grams"), (F.col("a.n") == F.col("b.n")) & (F.col("a.block") == F.col("b.block")) & (distance <= radius)).select("a.doc_id", "b.row", "a.start", "a.n", "a.ww", distance.alias("distance"))
-    met = met.distinct()
+    met = a.join(b, (F.col("a.n") == F.col("b.n")) & (F.col("a.block") == F.col("b.block")) & (distance <= radius)).select("a.window", "b.row", distance.alias("distance")).distinct()
+    # few bytes and much work: dealt by the count of windows, not by bytes
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), windows.count() // windows_a_part)
+    met = met.repartition(parts, "window").join(windows.select("window", "doc_id", "start", "n", "ww").repartition(parts, "window"), "window")
 
     seen = listed.select("row", F.explode(F.array_distinct("grams")).alias("g"))
     rarity = seen.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     weights = seen.join(rarity, "g").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("g", F.log(1 + n_items / F.col("df"))))).alias("weights"))
     sides = listed.select("row", "item_id", "size", "grams").join(weights, "row")
     alike = weighted_jaccard(grams(F.col("ww"), F.col("size")), F.col("grams"), F.col("weights"), F.log(F.lit(1.0 + n_items)))
-    scored = met.join(sides, "row").withColumn("similarity", alike).where(F.col("similarity") >= similarity)
+    scored = met.join(sides, "row").withColumn("similarity", alike).where(F.col("similarity") >= similarity - 1e-9)  # sums of weights are rounded
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("back"), (-F.col("distance")).alias("near"), F.col("n"))).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.back")).cast("int").alias("start_word"), F.col("best.n").cast("int").alias("n_words"), (-F.col("best.near")).cast("int").alias("distance"), F.col("best.similarity").alias("similarity"))
 

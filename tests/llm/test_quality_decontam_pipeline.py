@@ -147,7 +147,8 @@ def test_pipeline_stages(spark, folder):
     last = {r["doc_id"]: r for r in docs.collect()}
     assert last[301]["text"].endswith("mail <EMAIL> now") and last[301]["n_chars"] == len(last[301]["text"])
     run = corpus_pipeline.run(spark, path).collect()
-    assert {r["doc_id"] for r in run} == ids["personal_data"] and sorted(run) == sorted(packing.pack(docs).collect())
+    assert {r["doc_id"] for r in run} == ids["personal_data"] and sorted(run) == sorted(packing.pack(docs, keep=("text",)).collect())
+    assert {r["doc_id"]: r["text"] for r in run} == {k: r["text"] for k, r in last.items()}
 
 
 def test_pipeline_takes_odd_rows(spark, folder):
@@ -161,3 +162,9 @@ def test_pipeline_takes_odd_rows(spark, folder):
     # rows of one id are one document; the null id stays by itself
     kept = corpus_pipeline.near_duplicates(spark, odd, path).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["20", "7", "None", "None"]
+    # of an id's rows the least stays, a null id stays though its text is that of another
+    several = spark.createDataFrame([(3, "b a", "en", "s", 1, 0), (3, "a b", "en", "s", 1, 0), (None, "a b", "en", "s", 1, 0)], SCHEMA + ", spans long")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.near_duplicates(spark, several, path).collect()) == [("3", "a b"), ("None", "a b")]
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/none/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{path}/none").collect() == []

@@ -30,12 +30,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a similarity of 0.8 or more on 5-word shingles, the document with the least id; documents with a
-    null id all stay."""
+    null id all stay. Of rows that share an id the one with the least columns, in their order, stays."""
     docs = docs.select(*COLUMNS)
     ids = cut(ngram_join.join(docs, size=5, percent=80).select("doc_id", "component_id"), "groups")
-    kept = _only(docs, ids.where("doc_id <=> component_id").select("doc_id"), "left_semi")
+    kept = _only(docs, ids.where("doc_id <=> component_id or doc_id is null").select("doc_id").distinct(), "left_semi")
     again = ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if again.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    if again.isEmpty():
+        return kept
+    # only rows of ids that repeat are dealt anew
+    single, several = _only(kept, again, "left_anti"), _only(kept, again, "left_semi")
+    first = several.groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in COLUMNS[1:]])).alias("row")).select("doc_id", "row.*")
+    return single.union(first)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +57,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The batches: a row for each document with its bucket, batch and place."""
-    return packing.pack(docs)
+    """The batches: a row for each document with its bucket, batch, place and text."""
+    return packing.pack(docs, keep=("text",))
 
 
 STAGES = [

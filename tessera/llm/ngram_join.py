@@ -140,8 +140,8 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, light: int = 64, fir
     contraction.
     """
     slim = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    made = slim.select("id", let(shingles(F.col("text"), size), lambda s: F.struct(F.size(s).alias("n"), F.xxhash64(s).alias("f"), F.xxhash64(F.reverse(s)).alias("g"), F.slice(s, F.lit(1), F.greatest(F.lit(1), prefix(F.size(s), percent, first))).alias("toks"))).alias("s"))
-    held = cut(made.select("id", F.monotonically_increasing_id().alias("row"), "s.*"), "sets", "lz4")
+    made = slim.select("id", F.xxhash64("text").alias("h"), let(shingles(F.col("text"), size), lambda s: F.struct(F.size(s).alias("n"), F.xxhash64(s).alias("f"), F.xxhash64(F.reverse(s)).alias("g"), F.slice(s, F.lit(1), F.greatest(F.lit(1), prefix(F.size(s), percent, first))).alias("toks"))).alias("s"))
+    held = cut(made.select("id", "h", F.monotonically_increasing_id().alias("row"), "s.*"), "sets", "lz4")
     classes = cut(held.where("n > 0").groupBy("n", "f", "g").agg(F.min("id").alias("rep"), F.min("row").alias("node")), "classes")
     reps = held.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "n", "toks")
 
@@ -149,12 +149,11 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, light: int = 64, fir
     pairs, odd = cut(pairs, "pairs", release=True), cut(odd, "odd")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(odd.select("id")).distinct()
     # by sort and merge at every size: what is wanted grows with the input
-    wanted = held.join(ids.withColumnRenamed("id", "row"), "row").select(F.coalesce("id", F.lit(0)).alias("key"), F.col("id").isNull().alias("none"), "row", "f", "g")
-    keyed = slim.select(F.coalesce("id", F.lit(0)).alias("key"), F.col("id").isNull().alias("none"), "text")
-    whole = keyed.hint("merge").join(wanted.hint("merge"), ["key", "none"]).select("key", "none", "row", "f", "g", shingles(F.col("text"), size).alias("toks"))
-    # rows that share a key may have other texts, or the same one again
-    whole = whole.where((F.xxhash64("toks") == F.col("f")) & (F.xxhash64(F.reverse("toks")) == F.col("g"))).dropDuplicates(["key", "none", "row"])
-    whole = whole.select(F.col("row").alias("id"), F.size("toks").alias("n"), "toks")
+    key_of = [F.coalesce("id", F.lit(0)).alias("key"), F.col("id").isNull().alias("none")]
+    wanted = held.join(ids.withColumnRenamed("id", "row"), "row").select(*key_of, "h", "row")
+    # rows that share a key may have other texts, told by a hash, or the same one again
+    keyed = slim.select(*key_of, F.xxhash64("text").alias("h"), "text").hint("merge").join(wanted.hint("merge"), ["key", "none", "h"])
+    whole = keyed.dropDuplicates(["key", "none", "h"]).select(F.col("row").alias("id"), shingles(F.col("text"), size).alias("toks")).select("id", F.size("toks").alias("n"), "toks")
     whole = cut(whole, "whole", "lz4", release=True)
     edges = cut(verify(pairs, whole, percent), "links")
     if not odd.isEmpty():

@@ -94,3 +94,30 @@ def etag(tag: Column, z: Column, x: Column, y: Column) -> Column:
 def etag_matches(header: Column, own: Column) -> Column:
     """If-None-Match: a list with the tag or a star."""
     return F.coalesce(F.exists(F.split(header, ","), lambda x: (F.trim(x) == "*") | (F.trim(x) == own)), F.lit(False))
+
+
+def utc_text(instant: Column) -> Column:
+    """An instant (session zone UTC) as ISO text to the second."""
+    return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def latest_instant(*instants: Column) -> Column:
+    """The last of ISO instants, which compare as text."""
+    return F.greatest(*instants)
+
+
+def valid_date(text: Column) -> Column:
+    """'YYYY-MM-DD' that exists."""
+    return F.coalesce(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
+
+
+def colour(text: Column) -> Column:
+    """Red, green and blue of '#RRGGBB', '#' may be left out; null for other text."""
+    digits = F.regexp_extract(text, r"^#?([0-9A-Fa-f]{6})\z", 1)
+    return F.when(digits != "", F.array(*[F.conv(F.substring(digits, i, 2), 16, 10).cast("int") for i in (1, 3, 5)]))
+
+
+def valid_palette(colours: Column, size: int = 7) -> Column:
+    """Whether there are so many colours of three channels from 0 to 255."""
+    one = F.forall(colours, lambda c: (F.size(c) == 3) & F.forall(c, lambda v: v.between(0, 255)))
+    return F.coalesce((F.size(colours) == size) & one, F.lit(False))

@@ -142,3 +142,24 @@ def canonical(parts: Column) -> Column:
         return F.concat(F.array(canonical_ring(rings[0], True)), holes)
 
     return F.array_sort(F.transform(parts, part))
+
+
+def promoted(polygon: Column) -> Column:
+    """A polygon (rings) as multipolygon of one part; null and empty ones, and rings of under four vertices, are an error."""
+    good = polygon.isNotNull() & (F.size(polygon) > 0) & F.forall(polygon, lambda r: F.size(r) >= 4)
+    return F.when(F.coalesce(good, F.lit(False)), F.array(polygon)).otherwise(F.raise_error(F.lit("empty or malformed polygon")))
+
+
+def flattened(collections: Column) -> Column:
+    """The parts of an array of multipolygons, empty ones left out."""
+    return F.filter(F.flatten(F.filter(collections, lambda m: m.isNotNull())), lambda p: F.size(p) > 0)
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """A coordinate to so many digits, without a negative zero; half a unit goes by the binary value, in Arrow batches."""
+
+    @F.arrow_udf("double")
+    def clean(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else round(v, digits) + 0.0 for v in values.to_pylist()], pa.float64())
+
+    return clean(value)

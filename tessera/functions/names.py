@@ -47,3 +47,18 @@ def review_categories(name: Column, sampled: Column, aliased: Column) -> Column:
 
 def markdown_cell(text: Column) -> Column:
     return F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def sort_key(name: Column) -> Column:
+    """What published rows are ordered by, before the name itself: the folded name. Beyond Latin letters use suggestion_key_unicode's folding."""
+    return F.lower(F.replace(name, F.lit("ß"), F.lit("ss")))
+
+
+def markdown_row(cells: list[Column]) -> Column:
+    """A line of a Markdown table."""
+    return F.concat(F.lit("| "), F.array_join(F.array(*map(markdown_cell, cells)), " | "), F.lit(" |"))
+
+
+def bbox_text(min_x: Column, min_y: Column, max_x: Column, max_y: Column, digits: int = 3) -> Column:
+    """A bounding box for reports."""
+    return F.format_string(f"[{', '.join([f'%.{digits}f'] * 4)}]", min_x, min_y, max_x, max_y)

@@ -137,8 +137,8 @@ def chunk_table():
     return Chunks
 
 
-def render(edges: np.ndarray, zones: np.ndarray, z: int, x: int, y: int) -> np.ndarray:
-    """Indices of one tile from closed outlines in Mercator metres: zone fill 1-7, its hatch 8-14, border 15, background 0.
+def render(edges: np.ndarray, zones: np.ndarray, z: int, x: int, y: int, wide: int = 1, high: int = 1) -> np.ndarray:
+    """Indices of one tile, or of a window of tiles from it on, from closed outlines in Mercator metres: zone fill 1-7, its hatch 8-14, border 15, background 0.
 
     edges: rows of ax, ay, bx, by; zones: each edge's index 1-7. A pixel is filled by the even-odd rule at its middle, the hatch
     and the border follow global pixels, so neighbouring tiles fit without a seam.
@@ -147,28 +147,78 @@ def render(edges: np.ndarray, zones: np.ndarray, z: int, x: int, y: int) -> np.n
 
     scale = SIDE * 2**z / WORLD
     gx, gy = (edges[:, [0, 2]] + HALF_WORLD) * scale - x * SIDE, (HALF_WORLD - edges[:, [1, 3]]) * scale - y * SIDE
-    middle = np.arange(SIDE) + 0.5
-    out = np.zeros((SIDE, SIDE), np.uint8)
+    width, height = wide * SIDE, high * SIDE
+    across, middle = np.arange(width) + 0.5, np.arange(height) + 0.5
+    out = np.zeros((height, width), np.uint8)
     for zone in np.unique(zones):
         ax, bx, ay, by = gx[zones == zone, 0], gx[zones == zone, 1], gy[zones == zone, 0], gy[zones == zone, 1]
-        inside = np.zeros((SIDE, SIDE), bool)
-        for i in np.flatnonzero((np.minimum(ay, by) < SIDE) & (np.maximum(ay, by) > 0) & (ay != by)):
+        inside = np.zeros((height, width), bool)
+        for i in np.flatnonzero((np.minimum(ay, by) < height) & (np.maximum(ay, by) > 0) & (ay != by)):
             rows = np.flatnonzero((ay[i] > middle) != (by[i] > middle))
             cut = ax[i] + (middle[rows] - ay[i]) / (by[i] - ay[i]) * (bx[i] - ax[i])
-            inside[rows] ^= middle[None, :] > cut[:, None]
+            inside[rows] ^= across[None, :] > cut[:, None]
         out[inside] = zone
-    rows, cols = np.mgrid[0:SIDE, 0:SIDE]
+    rows, cols = np.mgrid[0:height, 0:width]
     hatch = ((cols + x * SIDE + rows + y * SIDE) % HATCH_PERIOD < HATCH_WIDTH) & (out > 0)
     out[hatch] += 7
     # the border: pixels whose middle is within one pixel of an edge
-    near = (np.minimum(gx[:, 0], gx[:, 1]) < SIDE + 1) & (np.maximum(gx[:, 0], gx[:, 1]) > -1) & (np.minimum(gy[:, 0], gy[:, 1]) < SIDE + 1) & (np.maximum(gy[:, 0], gy[:, 1]) > -1)
+    near = (np.minimum(gx[:, 0], gx[:, 1]) < width + 1) & (np.maximum(gx[:, 0], gx[:, 1]) > -1) & (np.minimum(gy[:, 0], gy[:, 1]) < height + 1) & (np.maximum(gy[:, 0], gy[:, 1]) > -1)
     for ax, bx, ay, by in zip(gx[near, 0], gx[near, 1], gy[near, 0], gy[near, 1], strict=True):
-        c0, c1 = max(0, int(min(ax, bx)) - 2), min(SIDE, int(max(ax, bx)) + 3)
-        r0, r1 = max(0, int(min(ay, by)) - 2), min(SIDE, int(max(ay, by)) + 3)
+        c0, c1 = max(0, int(min(ax, bx)) - 2), min(width, int(max(ax, bx)) + 3)
+        r0, r1 = max(0, int(min(ay, by)) - 2), min(height, int(max(ay, by)) + 3)
         if c0 >= c1 or r0 >= r1:
             continue
-        px, py = np.meshgrid(middle[c0:c1], middle[r0:r1])
+        px, py = np.meshgrid(across[c0:c1], middle[r0:r1])
         dx, dy = bx - ax, by - ay
         along = np.clip(((px - ax) * dx + (py - ay) * dy) / max(dx * dx + dy * dy, 1e-12), 0, 1)
         out[r0:r1, c0:c1][np.hypot(px - ax - along * dx, py - ay - along * dy) <= 1] = 15
     return out
+
+
+def rgba(indices: np.ndarray, palette: bytes) -> np.ndarray:
+    """Red, green, blue and alpha of each pixel of indices."""
+    colours = np.frombuffer(palette, np.uint8).reshape(-1, 3)
+    alpha = np.full(len(colours), 255, np.uint8)
+    alpha[: len(ALPHA)] = np.frombuffer(ALPHA, np.uint8)
+    return np.concatenate([colours[indices], alpha[indices][..., None]], axis=-1)
+
+
+def mosaic(tiles: dict[tuple[int, int], np.ndarray], x0: int, y0: int, x1: int, y1: int) -> np.ndarray:
+    """The indices of a window of tiles, both ends included; tiles that are not there are background."""
+    out = np.zeros(((y1 - y0 + 1) * SIDE, (x1 - x0 + 1) * SIDE), np.uint8)
+    for (x, y), own in tiles.items():
+        if x0 <= x <= x1 and y0 <= y <= y1:
+            out[(y - y0) * SIDE : (y - y0 + 1) * SIDE, (x - x0) * SIDE : (x - x0 + 1) * SIDE] = own
+    return out
+
+
+def crop(window: np.ndarray, column: int, row: int) -> np.ndarray:
+    """One tile of a mosaic."""
+    return window[row * SIDE : (row + 1) * SIDE, column * SIDE : (column + 1) * SIDE]
+
+
+def overview(window: np.ndarray, step: int) -> np.ndarray:
+    """Every step-th pixel of a mosaic: the middle of each square."""
+    return window[step // 2 :: step, step // 2 :: step]
+
+
+def border_near(window: np.ndarray, column: int, row: int, radius: int = 3) -> tuple[int, int] | None:
+    """The first border pixel, by row and column, within so many pixels of a place; none is None."""
+    a, b = max(0, row - radius), max(0, column - radius)
+    hits = np.argwhere(window[a : row + radius + 1, b : column + radius + 1] == 15)
+    return (int(hits[0][1]) + b, int(hits[0][0]) + a) if len(hits) else None
+
+
+def fixture() -> np.ndarray:
+    """A tile of two zones with their hatches, a border between them and background around."""
+    rows, cols = np.mgrid[0:SIDE, 0:SIDE]
+    out = np.where(cols < SIDE // 2, 1, 2)
+    out = np.where((rows + cols) % 12 < 2, out + 7, out)
+    out[:, SIDE // 2 - 1 : SIDE // 2 + 1] = 15
+    out[:16], out[-16:], out[:, :16], out[:, -16:] = 0, 0, 0, 0
+    return out.astype(np.uint8)
+
+
+def uint32(content: Column, at: Column) -> Column:
+    """The big-endian number of four bytes from a place (from 0) on."""
+    return F.conv(F.hex(F.substring(content, at + 1, F.lit(4))), 16, 10).cast("long")

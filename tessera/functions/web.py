@@ -28,8 +28,11 @@ def exact_keys(document: Column, keys: list[str]) -> Column:
 
 
 def quoted(part: Column) -> Column:
-    """Percent-encoded, a space as %20."""
-    return F.replace(F.url_encode(part), F.lit("+"), F.lit("%20"))
+    """Percent-encoded but for letters, digits and -._~; a space as %20."""
+    out = F.url_encode(part)
+    for given, wanted in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(given), F.lit(wanted))
+    return out
 
 
 def valid_web_url(url: Column, secure: bool = False) -> Column:
@@ -41,3 +44,14 @@ def valid_web_url(url: Column, secure: bool = False) -> Column:
 def response_violations(observed: Column, expected: Column) -> Column:
     """Which of status, content_type, cache_control and sha256 of two structs differ; a null expectation holds for all."""
     return F.array_compact(F.array(*[F.when(expected[c].isNotNull() & ~observed[c].eqNullSafe(expected[c]), F.lit(c)) for c in ("status", "content_type", "cache_control", "sha256")]))
+
+
+def log_line(fields: dict[str, Column]) -> Column:
+    """A request as one compact JSON object with sorted keys; nulls stay."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def contained(path: Column) -> Column:
+    """Whether a path is relative and stays below its root: no drive, no leading slash, no backslash, no empty, dot or dot-dot part."""
+    parts = F.split(path, "/", -1)
+    return F.coalesce((path != "") & ~path.rlike(r"[\\\x00]|^[A-Za-z]:") & F.forall(parts, lambda p: ~p.isin("", ".", "..")), F.lit(False))

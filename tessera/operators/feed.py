@@ -141,3 +141,21 @@ def require_valid(*violations: DataFrame) -> None:
     """Raise the first violation, if any; the rows that reach the driver are at most one."""
     for bad in reduce(DataFrame.unionByName, [v.select("doc", "code", "path") for v in violations]).orderBy("doc").limit(1).collect():
         raise FeedError(bad["code"], bad["path"])
+
+
+#: Codes that may leave the service; the reason of any other failure stays inside.
+PUBLIC_CODES = (
+    "INVALID_REQUIRED_FIELD", "INVALID_SOURCE_TIMESTAMP", "DUPLICATE_ZONE_ID", "INVALID_ZONE_SET", "DUPLICATE_SITUATION_ID", "SITUATION_WRONG_ADVISORY", "UNKNOWN_SITUATION_ID", "SITUATION_INACTIVE",
+    "INVALID_SITUATION_CATALOG", "UNKNOWN_CURRENT_SITUATION", "UNKNOWN_FORECAST_SITUATION", "INVALID_JSON", "INVALID_PERSISTED_STATE", "INCOMPATIBLE_SCHEMA_VERSION",
+)
+
+
+def safe_error(code: Column) -> Column:
+    """The code of an error as it may be logged: a known one, else UNEXPECTED_ERROR."""
+    return F.when(code.isin(*PUBLIC_CODES), code).otherwise("UNEXPECTED_ERROR")
+
+
+def split_domain(rows: DataFrame, column: str, allowed: tuple[int, ...], outside: int) -> DataFrame:
+    """rows with bucket: kept for allowed values, outside for the one that is set aside, invalid for all others and null."""
+    value = F.col(column)
+    return rows.withColumn("bucket", F.when(value.isin(*allowed), "kept").when(value == outside, "outside").otherwise("invalid"))

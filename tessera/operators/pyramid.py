@@ -47,10 +47,18 @@ def fill_rows(segments: DataFrame, edge_tiles: DataFrame, key: str) -> DataFrame
     gaps = edge_tiles.withColumn("next", F.lead("x").over(order)).where(F.col("next") > F.col("x") + 1)
     b = t.bounds(F.col("z"), F.col("x") + 1, F.col("y"))
     gaps = gaps.select(key, "z", "x", "y", "next", ((b["min_x"] + b["max_x"]) / 2).alias("px"), ((b["min_y"] + b["max_y"]) / 2).alias("py"))
-    s, g = segments.alias("s"), gaps.alias("g")
+    # edges are sent to the rows of tiles whose middle line they cross
+    zooms = F.array(*[F.lit(int(r["z"])) for r in edge_tiles.select("z").distinct().collect()])
+    sent = segments.select(key, "ax", "ay", "bx", "by", F.explode(zooms).alias("z")).where("ay <> by")
+    span = F.lit(t.WORLD) / t.extent(F.col("z"))
+    row = lambda v: (F.lit(t.HALF_WORLD) - v) / span - 0.5
+    first, last = F.ceil(row(F.greatest("ay", "by"))) - 1, F.floor(row(F.least("ay", "by"))) + 1
+    sent = sent.withColumn("y", F.explode(F.sequence(first, last)))
+    s, g = sent.alias("s"), gaps.alias("g")
     above = (F.col("s.ay") > F.col("g.py")) != (F.col("s.by") > F.col("g.py"))
     cross = F.col("s.ax") + (F.col("g.py") - F.col("s.ay")) / (F.col("s.by") - F.col("s.ay")) * (F.col("s.bx") - F.col("s.ax"))
-    inside = g.join(s, (F.col(f"g.{key}") == F.col(f"s.{key}")) & above & (cross < F.col("g.px"))).groupBy(f"g.{key}", "g.z", "g.x", "g.y", "g.next").count().where("count % 2 = 1")
+    same = (F.col(f"g.{key}") == F.col(f"s.{key}")) & (F.col("g.z") == F.col("s.z")) & (F.col("g.y") == F.col("s.y"))
+    inside = g.join(s, same & above & (cross < F.col("g.px"))).groupBy(f"g.{key}", "g.z", "g.x", "g.y", "g.next").count().where("count % 2 = 1")
     filled = inside.select(key, "z", F.explode(F.sequence(F.col("x") + 1, F.col("next") - 1)).alias("x"), "y")
     return edge_tiles.select(key, "z", "x", "y").union(filled).distinct()
 
@@ -76,3 +84,27 @@ def first_middle_last(rows: DataFrame, group: str, order: list[str]) -> DataFram
     middle = F.floor(F.col("_n") / 2) + 1
     position = F.when(F.col("_rn") == 1, "first").when(F.col("_rn") == F.col("_n"), "last").when(F.col("_rn") == middle, "middle")
     return ranked.withColumn("position", position).where("position is not null").drop("_rn", "_n")
+
+
+def best_pairs(pairs: DataFrame, score: str) -> DataFrame:
+    """z, direction, x, y, score of the neighbours (neighbours() with a score) that come last by score, x and y in each zoom and direction."""
+    best = F.max(F.struct(F.col(score).alias("score"), "x", "y")).alias("m")
+    return pairs.groupBy("z", "direction").agg(best).select("z", "direction", "m.x", "m.y", "m.score")
+
+
+def window_edges(segments: DataFrame, key: str, zooms: tuple[int, ...], overscan: int = t.OVERSCAN) -> DataFrame:
+    """Edges (key, ax..by) with each tile z, x, y whose window, wider by so many pixels on every side, they meet.
+
+    Candidates are the tiles of the edge's box made wider; those whose window lies to one side of the edge's line go.
+    """
+    z = F.explode(F.array(*map(F.lit, zooms))).alias("z")
+    own = segments.select("*", z).withColumn("_o", F.lit(t.WORLD / t.TILE_SIZE * overscan) / t.extent(F.col("z")))
+    low, high = (lambda a: F.least(f"a{a}", f"b{a}")), (lambda a: F.greatest(f"a{a}", f"b{a}"))
+    across = F.sequence(t.tile_x(F.col("z"), low("x") - F.col("_o")), t.tile_x(F.col("z"), high("x") + F.col("_o")))
+    down = F.sequence(t.tile_y(F.col("z"), high("y") + F.col("_o")), t.tile_y(F.col("z"), low("y") - F.col("_o")))
+    own = own.withColumn("x", F.explode(across)).withColumn("y", F.explode(down)).withColumn("_b", t.bounds(F.col("z"), F.col("x"), F.col("y")))
+    left, right, bottom, top = F.col("_b.min_x") - F.col("_o"), F.col("_b.max_x") + F.col("_o"), F.col("_b.min_y") - F.col("_o"), F.col("_b.max_y") + F.col("_o")
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    side = [dx * (v - F.col("ay")) - dy * (h - F.col("ax")) for h in (left, right) for v in (bottom, top)]
+    meets = (low("x") <= right) & (high("x") >= left) & (low("y") <= top) & (high("y") >= bottom) & (F.least(*side) <= 0) & (F.greatest(*side) >= 0)
+    return own.where(meets).drop("_o", "_b")

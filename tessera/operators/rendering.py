@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import png
 from ..functions import tiles as t
+from .reconcile import stream_hash
 
 TILE = "z int, x long, y long, content binary, sha256 string, bytes long, indices array<int>"
 
@@ -62,6 +63,17 @@ def inventory_digest(tiles: DataFrame) -> DataFrame:
     return columns.groupBy("z").agg(F.sum("n").alias("tiles"), F.sum("b").alias("bytes"), whole.alias("sha256"))
 
 
+def published_inventory(tiles: DataFrame) -> DataFrame:
+    """z, tiles, bytes, bounds and the SHA-256 of the zoom's inventory file: lines of digest and path, ordered by x and y.
+
+    tiles: z, x, y, sha256, bytes. Counts and bounds are partial sums; each zoom's digest is one stream, as its file is one.
+    """
+    bounds = [F.count(F.lit(1)).alias("tiles"), F.sum("bytes").alias("bytes"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y")]
+    line = F.concat(F.col("sha256"), F.lit("  "), F.concat_ws("/", "z", "x", "y"), F.lit(".png\n"))
+    digests = stream_hash(tiles.withColumn("line", line), "z", ["x", "y"], "line").select("z", "sha256")
+    return tiles.groupBy("z").agg(*bounds).join(digests, "z")
+
+
 def with_default(requests: DataFrame, tiles: DataFrame, default: Column) -> DataFrame:
     """requests (z, x, y, ...) with content: the tile's, or the default where there is none, and covered."""
     found = requests.join(tiles.select("z", "x", "y", "content"), ["z", "x", "y"], "left")

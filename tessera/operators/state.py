@@ -63,3 +63,40 @@ def tile_states(states: DataFrame, now: Column, period: Column) -> DataFrame:
         F.when(period == "current", "solid").otherwise("forecast_hatch").alias("style"),
         F.when(missing, F.array_repeat(grey, len(f.ZONES))).otherwise(F.transform(zones, lambda z: F.element_at(rgb, z["level"]))).alias("colors"),
     )
+
+
+def read_back(stored: DataFrame, schema: str) -> DataFrame:
+    """Stored states (key, body) as key, state (of schema) and code: null bodies are no state, others that are no JSON object INVALID_JSON."""
+    parsed = F.from_json("body", schema, {"mode": "PERMISSIVE"})
+    whole = F.schema_of_variant(F.try_parse_json("body")).startswith("OBJECT")
+    return stored.select("key", F.when(F.coalesce(whole, F.lit(False)), parsed).alias("state"), F.when(F.col("body").isNotNull() & ~F.coalesce(whole, F.lit(False)), "INVALID_JSON").alias("code"))
+
+
+def documents(states: DataFrame, now: Column) -> DataFrame:
+    """What the status and health routes answer for states (key, version, source_time, snapshot_id, forecast_date, code; version null
+    where nothing was published): health_status, status_status, reason, is_stale, health and status as JSON.
+
+    A state that can't be read is unavailable, one of another local date than now's is stale; a first version has no forecast.
+    """
+    date, today = f.source_date(F.col("source_time")), f.local_date(now)
+    reason = F.when(F.col("code") == "INCOMPATIBLE_SCHEMA_VERSION", "incompatible_schema_version").when(F.col("code").isNotNull(), "invalid_persisted_state").when(F.col("version").isNull(), "not_published")
+    old = f.stale(F.col("source_time"), now)
+    ahead = F.when(F.col("version") == 2, F.col("forecast_date"))
+    gone = F.to_json(F.struct(F.lit(False).alias("ok"), F.lit("unavailable").alias("status"), reason.alias("reason")))
+    health = F.struct((~old).alias("ok"), F.when(old, "stale").otherwise("current").alias("status"), F.col("snapshot_id").alias("snapshotId"), date.alias("sourceDate"), ahead.alias("forecastValidDate"), today.alias("currentDateMadrid"))
+    next_day = F.when(F.col("version") == 2, F.struct(ahead.alias("validDate"), old.alias("isStale")))
+    status = F.struct(F.col("version").alias("schemaVersion"), F.col("snapshot_id").alias("snapshotId"), old.alias("isStale"), next_day.alias("forecastNextDay"))
+    whole = {"ignoreNullFields": "false"}
+    return states.select(
+        "key", F.when(reason.isNotNull() | old, 503).otherwise(200).alias("health_status"), F.when(reason.isNotNull(), 503).otherwise(200).alias("status_status"), F.coalesce(reason, F.lit("")).alias("reason"),
+        F.when(reason.isNotNull(), gone).otherwise(F.to_json(health, whole)).alias("health"), F.when(reason.isNotNull(), gone).otherwise(F.to_json(status, whole)).alias("status"),
+    )
+
+
+def client_accepts(version: Column, current: Column, forecast: Column) -> Column:
+    """Whether the map shows a status: second version, seven zones in order, levels 1 to 3, also of the forecast."""
+
+    def good(zones: Column) -> Column:
+        return (F.size(zones) == len(f.ZONES)) & F.forall(F.transform(zones, lambda z, i: (z["zone_id"] == i + f.ZONES[0]) & z["level"].between(1, 3)), lambda x: x)
+
+    return F.coalesce((version == 2) & good(current) & good(forecast), F.lit(False))

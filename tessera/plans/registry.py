@@ -6,8 +6,6 @@ The tables hold no risk feeds, so each query applies an operator to a table of l
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,28 +15,12 @@ from ..functions import feed as f
 from ..functions import names as nm
 from ..functions import png
 from ..functions import tiles as t
+from ..functions import web
 from ..operators import crosswalk, pyramid, reconcile, state, topology
 from ..operators.feed import first_violation, strict_int
+from .base import QUERIES, SQL, query, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def add(run: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[run.__name__] = run
-        if sql is not None:
-            SQL[run.__name__] = sql
-        return run
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["QUERIES", "SQL"]
 
 def _feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = strict_int(F.try_parse_json("props"), "$.k")
@@ -156,10 +138,8 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT count(*) AS n, count(DISTINCT doc_id) AS n_ids, count(DISTINCT sha256(text)) AS n_texts, count(DISTINCT source) AS n_sources, count(*) FILTER (text IS NULL OR trim(text) = '') AS n_blank, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS chars FROM documents""")
 def scalar_quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_ids"), F.count_distinct(F.sha2("text", 256)).alias("n_texts"), F.count_distinct("source").alias("n_sources"),
-        F.count_if(F.col("text").isNull() | (F.trim("text") == "")).alias("n_blank"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"),
-    )
+    distinct = {"n_ids": F.col("doc_id"), "n_texts": F.sha2("text", 256), "n_sources": F.col("source")}
+    return reconcile.metrics(table(spark, sf_dir, "documents"), distinct, "text", "n_chars")
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +253,7 @@ def inventory_vs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS protocol, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '\\?([^#]*)', 1), '') AS query, regexp_extract(url, '^([a-z]+)://', 1) IN ('http', 'https') AS is_web FROM pages""")
 def url_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = {p: F.try_parse_url("url", F.lit(p)) for p in ("PROTOCOL", "HOST", "QUERY")}
-    return table(spark, sf_dir, "pages").select("page_id", part["PROTOCOL"].alias("protocol"), part["HOST"].alias("host"), part["QUERY"].alias("query"), part["PROTOCOL"].isin("http", "https").alias("is_web"))
+    return table(spark, sf_dir, "pages").select("page_id", part["PROTOCOL"].alias("protocol"), part["HOST"].alias("host"), part["QUERY"].alias("query"), web.valid_web_url(F.col("url")).alias("is_web"))
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,12 +337,6 @@ def neighbour_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pyramid.neighbours(_tiles(spark, sf_dir))
 
 
-@query(f"WITH {POINTS}, {BOXES} SELECT z, max(x) AS x, arg_max(y, (x, y)) AS y, count(*) AS n FROM tiles GROUP BY z")
-def top_tile_per_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = _tiles(spark, sf_dir).groupBy("z").agg(F.max(F.struct("x", "y")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return top.select("z", "m.x", "m.y", "n")
-
-
 @query(f"WITH {POINTS}, {BOXES} SELECT coalesce(z, -1) AS z, count(*) AS tiles, CAST(sum(x + y) AS BIGINT) AS bytes, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM tiles GROUP BY ROLLUP (z)")
 def zoom_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pyramid.zoom_summary(_tiles(spark, sf_dir).withColumn("size", F.col("x") + F.col("y")), "size").withColumn("z", F.coalesce("z", F.lit(-1)))
@@ -378,14 +352,6 @@ def bbox_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _points(spark, sf_dir).groupBy("label").agg(F.min("px").alias("min_x"), F.min("py").alias("min_y"), F.max("px").alias("max_x"), F.max("py").alias("max_y"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT a.n_nationkey AS a, b.n_nationkey AS b, abs(a.n_regionkey - b.n_regionkey) AS distance, abs(a.n_regionkey - b.n_regionkey) <= greatest(1, 0.1 * a.n_nationkey) AS passes FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey""")
-def pair_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    a, b = n.select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("ra")), n.select(F.col("n_nationkey").alias("b"), F.col("n_regionkey").alias("rb"))
-    distance = F.abs(F.col("ra") - F.col("rb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", distance.alias("distance"), (distance <= F.greatest(F.lit(1.0), 0.1 * F.col("a"))).alias("passes"))
-
-
 @query("""SELECT n_regionkey AS zone, CAST(count(*) * 10000 AS DOUBLE) AS area, CAST(200.0 * count(*) + 200.0 AS DOUBLE) AS perimeter FROM nation GROUP BY 1""")
 def edge_dissolve_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     # each nation is a box of 100 m, the boxes of a region stand side by side
@@ -407,13 +373,6 @@ def _by(group: str, *order: str):
     return Window.partitionBy(group).orderBy(*order)
 
 
-@query(f"""WITH {POINTS} SELECT label, count(*) AS n, round(max(sqrt(power(px * 0.5 + 10.0 - px * 0.5, 2) + power(py * -0.5 + 5.0 + py * 0.5, 2))), 3) AS worst FROM points GROUP BY label""")
-def affine_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = F.col("px"), F.col("py")
-    residual = F.sqrt(F.pow(x * 0.5 + 10.0 - x * 0.5, F.lit(2)) + F.pow(y * -0.5 + 5.0 + y * 0.5, F.lit(2)))
-    return _points(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(residual), 3).alias("worst"))
-
-
 @query("""SELECT coalesce(CAST(6 + event_id % 9 AS BIGINT), -1) AS z, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) AS total FROM events GROUP BY ROLLUP (CAST(6 + event_id % 9 AS BIGINT))""")
 def outcome_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select((6 + F.col("event_id") % 9).alias("z"), "event_type")
@@ -428,14 +387,7 @@ def revisit_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.coalesce(gap, F.lit(-1)).alias("gap_seconds"))
 
 
-@query("""SELECT o_orderkey, coalesce(n, 0) AS lines, coalesce(status, 'transparent') AS status FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, min(l_linestatus) AS status FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""")
-def default_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min("l_linestatus").alias("status"))
-    rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return rows.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("lines"), F.coalesce("status", F.lit("transparent")).alias("status"))
-
-
-@query("SELECT n_nationkey, seq, type, true AS crc_ok FROM nation CROSS JOIN (VALUES (0, 'IHDR'), (1, 'PLTE'), (2, 'tRNS'), (3, 'IDAT'), (4, 'IEND')) c(seq, type)")
+@query("SELECT n_nationkey, seq, type, length, true AS crc_ok FROM nation CROSS JOIN (VALUES (0, 'IHDR', 13), (1, 'PLTE', 48), (2, 'tRNS', 16), (3, 'IDAT', -1), (4, 'IEND', 0)) c(seq, type, length)")
 def chunk_scan_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tile for each nation, encoded, recoloured and scanned again."""
     @F.pandas_udf("binary")
@@ -447,4 +399,8 @@ def chunk_scan_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = table(spark, sf_dir, "nation").select("n_nationkey", png.recoloured(paint(F.col("n_nationkey")), colours, F.lit("forecast_hatch")).alias("tile"))
     spark.udtf.register("png_chunks", png.chunk_table())
     tiles.createOrReplaceTempView("tessera_tiles")
-    return spark.sql("SELECT n_nationkey, c.seq, c.type, c.crc_ok FROM tessera_tiles, LATERAL png_chunks(tile) c")
+    return spark.sql("SELECT n_nationkey, c.seq, c.type, CASE WHEN c.type = 'IDAT' THEN -1 ELSE c.length END AS length, c.crc_ok FROM tessera_tiles, LATERAL png_chunks(tile) c")
+
+
+# more queries, registered as they are imported
+from . import contracts, landing, relations, shapes  # noqa: E402, F401

@@ -33,7 +33,8 @@ def feature(key: Column, parts: Column, properties: Column, digits: int = 9) ->
 
 
 def collection(features: DataFrame, key: str, column: str, most: int = 1000) -> bytes:
-    """A FeatureCollection of a few features in order of key, with the overall bbox and no crs; more than `most` are an error."""
+    """A FeatureCollection of a few features in order of key, with the overall bbox and no crs; more than `most` are an error: write_lines
+    takes any number."""
     rows = features.select(key, column).orderBy(key).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError("too many features for one file")
@@ -55,3 +56,21 @@ def violations(shapes: DataFrame, key: str, parts: str) -> DataFrame:
         .when((F.col("ring") == 0) & (area <= 0), "shell_clockwise").when((F.col("ring") > 0) & (area >= 0), "hole_counter_clockwise")
     )
     return rings.select(key, "part", "ring", problem.alias("problem")).where("problem is not null")
+
+
+def write_lines(features: DataFrame, key: str, column: str, path: str) -> None:
+    """Any number of features as GeoJSON lines, in parts whose names sort as the keys do."""
+    features.select(key, column).repartitionByRange(key).sortWithinPartitions(key).select(column).write.text(path)
+
+
+def contract(document: dict, ids: list[int]) -> list[str]:
+    """What a FeatureCollection breaks: its type, an own reference system, the features' ids and their order, bounding boxes."""
+    wrong = [] if document.get("type") == "FeatureCollection" else ["type"]
+    if "crs" in document:
+        wrong.append("crs")
+    features = document.get("features") or []
+    if [f.get("id") for f in features] != ids:
+        wrong.append("ids")
+    if any(len(f.get("bbox") or []) != 4 for f in features) or len(document.get("bbox") or []) != 4:
+        wrong.append("bbox")
+    return wrong

@@ -56,6 +56,37 @@ def inspect(path: str, layer: str, srs: int, required: tuple[str, ...]) -> list[
     return wrong
 
 
+def is_sqlite(path: str) -> bool:
+    """Whether a file begins as SQLite files do."""
+    with open(path, "rb") as held:
+        return held.read(16) == b"SQLite format 3\0"
+
+
+def record(path: str, layer: str, srs: int, required: tuple[str, ...]) -> dict[str, object]:
+    """What an inspection found: problems, rows, columns and reference system of a layer; a file that is no SQLite has nothing else."""
+    if not is_sqlite(path):
+        return {"problems": ["magic"]}
+    wrong = inspect(path, layer, srs, required)
+    if wrong:
+        return {"problems": wrong}
+    with connect(path) as db:
+        rows = db.execute(f"SELECT count(*) FROM {quote(layer)}").fetchone()[0]
+    return {"problems": [], "layer": layer, "rows": rows, "columns": list(columns(path, layer)), "srs_id": srs}
+
+
+def attributes(spark, path: str, layer: str, names: list[str], code: str, count: int):
+    """The named columns of a layer in order of its code; another number of rows, a blank value or a code twice is a ValueError."""
+    from pyspark.sql import functions as F
+
+    spark.dataSource.register(GeoPackageSource)
+    rows = spark.read.format("gpkg").option("path", path).option("table", layer).option("columns", ",".join(names)).load()
+    blank = [F.count_if(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")).alias(c) for c in names]
+    found = rows.agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(code).alias("_codes"), *blank).head()
+    if found["_n"] != count or found["_codes"] != count or any(found[c] for c in names):
+        raise ValueError(f"{found['_n']} rows, {found['_codes']} codes, expected {count}; blank: {[c for c in names if found[c]]}")
+    return rows.orderBy(code)
+
+
 class _Range(InputPartition):
     def __init__(self, low: int, high: int):
         self.low, self.high = low, high

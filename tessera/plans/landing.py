@@ -47,7 +47,7 @@ def inventory_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.inventory(spark, path, lines=docs.count())
 
 
-@query("SELECT n_regionkey AS region, CAST(sum(strlen(n_name) + 1) AS BIGINT) AS bytes FROM nation GROUP BY 1")
+@query("SELECT CAST(n_regionkey AS BIGINT) AS region, CAST(sum(strlen(n_name) + 1) AS BIGINT) AS bytes FROM nation GROUP BY 1")
 def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of nations as text files in a folder for each region, listed recursively."""
     path = scratch(spark, "folder")

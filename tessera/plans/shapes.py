@@ -76,7 +76,7 @@ def points_in_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "zone")
 
 
-@query("""SELECT n_nationkey AS nation, CAST(1 AS BIGINT) AS discarded, 100.0 AS discarded_length, 20000.0 AS area_before, 20000.0 AS area_after, 2.0 AS tolerance, true AS passes FROM nation WHERE n_nationkey % 3 = 0""")
+@query("""SELECT n_nationkey AS nation, CAST(1 AS BIGINT) AS discarded, CAST(100 AS DOUBLE) AS discarded_length, CAST(20000 AS DOUBLE) AS area_before, CAST(20000 AS DOUBLE) AS area_after, CAST(2 AS DOUBLE) AS tolerance, true AS passes FROM nation WHERE n_nationkey % 3 = 0""")
 def geometry_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two boxes a nation; every third nation's share a side, which goes when they are merged."""
     k = F.col("n_nationkey")
@@ -106,8 +106,8 @@ def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("key"), s.alias("side"), shape.alias("shape"))
 
 
-@query("""SELECT s_suppkey AS key, CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END AS parts, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS holes, -(1.0 + s_suppkey % 7) * (1.0 + s_suppkey % 7) AS given_area, (1.0 + s_suppkey % 7) * (1.0 + s_suppkey % 7) AS shell_area,
-    CASE WHEN s_suppkey % 2 = 0 THEN -(1.0 + s_suppkey % 7) * (1.0 + s_suppkey % 7) / 16 ELSE 0.0 END AS hole_area, 10.0 * s_suppkey AS first_x, 1.0 AS first_y, 5 AS vertices FROM supplier""")
+@query("""SELECT s_suppkey AS key, CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END AS parts, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS holes, CAST(-(1 + s_suppkey % 7) * (1 + s_suppkey % 7) AS DOUBLE) AS given_area, CAST((1 + s_suppkey % 7) * (1 + s_suppkey % 7) AS DOUBLE) AS shell_area,
+    CAST(CASE WHEN s_suppkey % 2 = 0 THEN -(1 + s_suppkey % 7) * (1 + s_suppkey % 7) / 16 ELSE 0 END AS DOUBLE) AS hole_area, CAST(10 * s_suppkey AS DOUBLE) AS first_x, CAST(1 AS DOUBLE) AS first_y, 5 AS vertices FROM supplier""")
 def canonical_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts, holes, signed areas before and after, and the first vertex of canonical multipolygons: shells turn left, holes right,
     repeats go, each ring begins at its least vertex, and parts are in order."""
@@ -178,7 +178,7 @@ PALETTE = bytes(v for i in range(16) for v in (i * 10, 255 - i, i))
 PIXELS = "pixels AS (SELECT n_nationkey AS k, r, c, (r + c + n_nationkey) % 16 AS i FROM nation CROSS JOIN range(256) a(r) CROSS JOIN range(256) b(c))"
 
 
-@query(f"""WITH {PIXELS} SELECT k AS tile, i * 10 AS red, 255 - i AS green, i AS blue, CASE i WHEN 0 THEN 0 WHEN 15 THEN 179 ELSE 77 END AS alpha, count(*) AS n FROM pixels GROUP BY k, i""")
+@query(f"""WITH {PIXELS} SELECT k AS tile, i * 10 AS red, 255 - i AS green, i AS blue, CAST(CASE i WHEN 0 THEN 0 WHEN 15 THEN 179 ELSE 77 END AS BIGINT) AS alpha, count(*) AS n FROM pixels GROUP BY k, i""")
 def rgba_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles encoded, decoded and expanded to RGBA: how many pixels have which colour."""
 
@@ -232,7 +232,7 @@ def missing_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.missing_indices(tiles).select(F.col("z").alias("tile"), F.explode("missing").alias("missing"))
 
 
-@query("""SELECT n_nationkey AS tile, true AS crops, n_nationkey % 5 + 1 AS width, CAST((n_nationkey % 5 + 1) * 16 * 16 AS BIGINT) AS overview, n_nationkey % 16 AS corner FROM nation""")
+@query("""SELECT n_nationkey AS tile, true AS crops, CAST(n_nationkey % 5 + 1 AS BIGINT) AS width, CAST((n_nationkey % 5 + 1) * 16 * 16 AS BIGINT) AS overview, CAST(n_nationkey % 16 AS BIGINT) AS corner FROM nation""")
 def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles side by side: every crop of the window is its tile, and an overview has one pixel for each 16 by 16."""
 

@@ -4,10 +4,14 @@
   publish FEED CATALOGUE STATE  the same, and append the candidate to the state table if its snapshot is new
   tiles GPKG LAYER OUT ZOOM...  dissolve the layer's zones (column zone_id, in Mercator metres) and write their tiles as a table
   inventory LIST ROOT           compare an inventory of SHA-256 lines with the files below a folder
+  download URL FILE BYTES       land a file of at most so many bytes and print its record
+  inspect GPKG LAYER SRS        print what an inspection of a layer finds
+  recolor TILE OUT COLOUR...    write a tile with seven colours (RRGGBB), the zones' hatches darker
 """
 
 from __future__ import annotations
 
+import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,10 +48,49 @@ def publish(spark: SparkSession, feed_path: str, catalogue_path: str, state: str
     return "published"
 
 
+def download(url: str, path: str, most: str) -> int:
+    from .sources import http
+
+    try:
+        print(json.dumps(http.download(url, path, int(most)), sort_keys=True))
+    except http.SourceError as error:
+        print(error.code, file=sys.stderr)
+        return 1
+    return 0
+
+
+def inspect(path: str, layer: str, srs: str) -> int:
+    from .sources import gpkg
+
+    found = gpkg.record(path, layer, int(srs), ())
+    print(json.dumps(found, sort_keys=True))
+    return int(bool(found["problems"]))
+
+
+def recolor(tile: str, out: str, *colours: str) -> int:
+    from .functions import png
+    from .sources import sinks
+
+    with open(tile, "rb") as held:
+        data = held.read()
+    try:
+        sinks.atomic_write(out, png.recolour(data, [list(bytes.fromhex(c.removeprefix("#"))) for c in colours], True))
+    except ValueError as error:
+        print(error, file=sys.stderr)
+        return 1
+    return 0
+
+
+#: Commands that need no Spark session.
+LOCAL = {"download": download, "inspect": inspect, "recolor": recolor}
+
+
 def main(args: list[str]) -> int:
-    if not args or args[0] not in ("status", "publish", "tiles", "inventory"):
+    if not args or args[0] not in ("status", "publish", "tiles", "inventory", *LOCAL):
         print(__doc__)
         return 2
+    if args[0] in LOCAL:
+        return LOCAL[args[0]](*args[1:])
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     command, *rest = args
     try:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,3 +40,25 @@ def run_available(candidates: DataFrame, checkpoint: str, target: str) -> None:
     """Take all that has landed, append outcomes to the table folder target, and stop."""
     query = outcomes(candidates).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+A, B, C = TypeVar("A"), TypeVar("B"), TypeVar("C")
+
+
+def paired(first: Callable[[], A], second: Callable[[], B]) -> tuple[A, B]:
+    """Both results, read at the same time; if either fails, its error is raised, the first's before the second's."""
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.submit(first), pool.submit(second)
+        return a.result(), b.result()
+
+
+def cycle(ingest: Callable[[], C], publish: Callable[[C], str], log: Callable[[dict], None]) -> str:
+    """One scheduled update: the outcome of publishing what was ingested, or `failed`. Errors end here, so the last valid state stays and the
+    next cycle runs; only their code is logged, UNEXPECTED_ERROR where they have none."""
+    try:
+        outcome = publish(ingest())
+    except Exception as error:
+        log({"event": "update_failed", "code": getattr(error, "code", None) or "UNEXPECTED_ERROR", "source": getattr(error, "source", None)})
+        return "failed"
+    log({"event": "update_done", "outcome": outcome})
+    return outcome

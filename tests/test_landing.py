@@ -164,3 +164,30 @@ def test_collections_hold_their_contract():
     own = {"type": "FeatureCollection", "bbox": [0, 0, 1, 1], "features": [{"id": i, "bbox": [0, 0, 1, 1]} for i in (53, 54)]}
     assert geojson.contract(own, [53, 54]) == []
     assert geojson.contract(own | {"type": "x", "crs": None, "bbox": []}, [54, 53]) == ["type", "crs", "ids", "bbox"]
+
+
+def test_cycles_keep_the_last_state():
+    from tessera.streaming import publish
+
+    logged, states = [], []
+    assert publish.cycle(lambda: 5, lambda v: states.append(v) or "published", logged.append) == "published"
+    assert publish.cycle(lambda: publish.paired(lambda: 1, lambda: 1 / 0), states.append, logged.append) == "failed"
+    fetch, _ = answers((404, "", "u", b""))
+    assert publish.cycle(lambda: sources.document("feed", "u", fetch), states.append, logged.append) == "failed"
+    assert states == [5] and [e.get("code") for e in logged] == [None, "UNEXPECTED_ERROR", "SOURCE_HTTP_STATUS"]
+    assert publish.paired(lambda: 1, lambda: "b") == (1, "b")
+
+
+def test_local_commands(server, tmp_path, capsys):
+    import numpy as np
+
+    from tessera import __main__ as command
+    from tessera.functions import png
+
+    assert command.main(["download", f"{server}/json", str(tmp_path / "a"), "100"]) == 0 and '"size_bytes": 7' in capsys.readouterr().out
+    assert command.main(["download", f"{server}/long", str(tmp_path / "b"), "100"]) == 1 and "SOURCE_TOO_LARGE" in capsys.readouterr().err
+    assert command.main(["inspect", str(tmp_path / "a"), "zones", "25830"]) == 1 and "magic" in capsys.readouterr().out
+    (tmp_path / "t.png").write_bytes(png.encode(np.zeros((256, 256), np.uint8), bytes(48)))
+    assert command.main(["recolor", str(tmp_path / "t.png"), str(tmp_path / "u.png"), *["#0A0B0C"] * 7]) == 0
+    assert png.check((tmp_path / "u.png").read_bytes())[b"PLTE"][3:6] == bytes([10, 11, 12])
+    assert command.main(["recolor", str(tmp_path / "t.png"), str(tmp_path / "v.png"), "0A0B0C"]) == 1 and command.main([]) == 2

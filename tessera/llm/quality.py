@@ -53,8 +53,11 @@ def repeated_words(own: Column) -> Column:
         return let(F.sort_array(windows), marked)
 
     def checked(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(F.slice(w, i, 5)))
-        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(exact(w)))
+        def windows(h: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.size(h) - 5), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(5)]))
+
+        each = let(F.transform(w, lambda x: F.xxhash64(x)), windows)
+        return let(each, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(exact(w)))
 
     return F.when(F.size(own) < 6, 0).otherwise(let(own, checked)).cast("long")
 

@@ -219,8 +219,7 @@ def _deal(buckets: int):
             return pa.RecordBatch.from_pydict({"bucket": pa.array(names, pa.int32()), "payload": pa.array(out, pa.binary())})
 
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                batch = whole.slice(i, 1000)
+            for batch in _portions(whole, 1):
                 hashes = batch.column(0).to_numpy(zero_copy_only=False)
                 for _, at, first, _, own, place, h in anchors([x.encode() for x in batch.column(1).to_pylist()]):
                     held.append((hashes[own], (place + at - first).astype(np.uint32), h))
@@ -298,8 +297,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The contexts of flagged anchors of texts (id, t64, text, at)."""
     for whole in batches:
-        for i in range(0, whole.num_rows, 1000):
-            batch = whole.slice(i, 1000)
+        for batch in _portions(whole, 2):
             ids, hashes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             texts = [x.encode() for x in batch.column(2).to_pylist()]
             lists = batch.column(3)
@@ -357,6 +355,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if size >= KINDS_FOLDED:
             yield flush()
             held, size = [], 0
+            pa.default_memory_pool().release_unused()
     if size:
         yield flush()
 
@@ -408,25 +407,39 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spot = np.arange(stops[-1]) + np.repeat(a - stops[:-1], b - a)
         lists = [pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(v[spot].astype(np.int32))) for v in (x, y)]
         yield pa.RecordBatch.from_arrays([lead.take(pa.array(own)), k.take(pa.array(own)), pa.array(least[own]), *lists], names=["lead", "k", "least", "starts", "stops"])
+    del lead, k, raw, off, data
+    pa.default_memory_pool().release_unused()
+
+
+def _portions(batch: pa.RecordBatch, column: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about so many bytes in a text column, one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Remove the stretches of texts (doc_id, text, starts, stops)."""
-    for batch in batches:
-        rows = []
-        for doc_id, text, starts, stops in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            data, kept, at, removed_bytes, spans = text.encode(), [], 0, 0, 0
-            for a, b in sorted(zip(starts, stops, strict=True)):
-                if a > at or spans == 0:
-                    kept.append(data[at:a])
-                    spans, removed_bytes, at = spans + 1, removed_bytes + b - a, b
-                elif b > at:
-                    removed_bytes, at = removed_bytes + b - at, b
-            kept.append(data[at:])
-            rows.append((doc_id, len(data), removed_bytes, spans, hashlib.sha256(b"".join(kept)).hexdigest()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    for whole in batches:
+        for batch in _portions(whole, 1):
+            rows = []
+            texts = batch.column(1).cast(pa.binary())
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                data, kept, at, removed_bytes, spans = texts[i].as_py(), hashlib.sha256(), 0, 0, 0
+                for a, b in sorted(zip(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), strict=True)):
+                    if a > at or spans == 0:
+                        kept.update(data[at:a])
+                        spans, removed_bytes, at = spans + 1, removed_bytes + b - a, b
+                    elif b > at:
+                        removed_bytes, at = removed_bytes + b - at, b
+                kept.update(data[at:])
+                rows.append((doc_id, len(data), removed_bytes, spans, kept.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

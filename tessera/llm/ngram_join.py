@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, lower_ascii, words
+from .common import cut, drop, let, lower_ascii, words
 from .components import components
 
 
@@ -61,9 +61,9 @@ def similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
-def probe(sets: DataFrame, percent: int, more: float, light: int, rarity: bool = False) -> tuple[DataFrame, DataFrame]:
-    """One level over sets (id, n, toks): pairs a < b to verify, and documents too heavy for it: id, n, light (how many light
-    shingles are in what was looked at), heavy (the heavy ones of the shortest prefix).
+def probe(sets: DataFrame, percent: int, more: float, light: int, rarity: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One level over sets (id, n, toks): pairs a < b to verify, documents too heavy for it (id, n, light: how many light
+    shingles are in what was looked at, heavy: the heavy ones of the shortest prefix), and the written table that both read.
 
     toks holds at least the longest prefix by hash; with rarity it is the whole set, and rare shingles come first.
     """
@@ -113,7 +113,7 @@ def probe(sets: DataFrame, percent: int, more: float, light: int, rarity: bool =
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & similar_sizes(F.col("a.n"), F.col("b.n"), percent))
     counted = met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("a.l", "b.l")).alias("l"), F.min(F.least("a.h", "b.h")).alias("h"))
     pairs = counted.where(F.col("c") + F.col("h") >= F.col("l")).select("a", "b")
-    return pairs, kept.where("odd").select("id", "n", "light", "heavy")
+    return pairs, kept.where("odd").select("id", "n", "light", "heavy"), kept
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -145,8 +145,9 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, light: int = 64, fir
     classes = cut(held.where("n > 0").groupBy("n", "f", "g").agg(F.min("id").alias("rep"), F.min("row").alias("node")), "classes")
     reps = held.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "n", "toks")
 
-    pairs, odd = probe(reps, percent, first, light)
+    pairs, odd, prefixes = probe(reps, percent, first, light)
     pairs, odd = cut(pairs, "pairs", release=True), cut(odd, "odd")
+    drop(prefixes)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(odd.select("id")).distinct()
     # by sort and merge at every size: what is wanted grows with the input
     key_of = [F.coalesce("id", F.lit(0)).alias("key"), F.col("id").isNull().alias("none")]
@@ -157,11 +158,13 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, light: int = 64, fir
     whole = cut(whole, "whole", "lz4", release=True)
     edges = cut(verify(pairs, whole, percent), "links")
     if not odd.isEmpty():
-        again, rest = probe(whole.join(odd.select("id"), "id", "left_semi"), percent, second, light, rarity=True)
+        again, rest, prefixes = probe(whole.join(odd.select("id"), "id", "left_semi"), percent, second, light, rarity=True)
         again, rest = cut(again, "pairs"), cut(rest, "odd")
+        drop(prefixes)
         edges = cut(edges.union(verify(again, whole, percent)), "links")
         if not rest.isEmpty():
             edges = _groups(rest, edges, whole, percent)
+    drop(whole)
     roots = components(edges)
     named = classes.join(roots, "node", "left").select("n", "f", "g", "rep", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -206,4 +209,6 @@ def _groups(rest: DataFrame, edges: DataFrame, whole: DataFrame, percent: int) -
     enough = 2 * F.least("a.left", "b.left") >= F.col("a.size") + F.col("b.size") - differ_most
     found = a.join(b, same & (F.col("a.root") != F.col("b.root")) & enough & similar_sizes(F.col("a.n"), F.col("b.n"), percent))
     found = cut(found.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct(), "pairs")
-    return cut(edges.union(verify(found, whole, percent)), "links")
+    out = cut(edges.union(verify(found, whole, percent)), "links")
+    drop(differ, short)
+    return out

@@ -3,30 +3,30 @@ from pyspark.sql import functions as F
 from tessera.functions import names
 from tessera.operators import crosswalk, reconcile
 
-FIELDS = ["nom_mun", "nom_cas", "nom_val", "noms_mun"]
+FIELDS = ["name_a", "name_b", "name_c", "names_all"]
 
 
 def places(spark):
-    return spark.createDataFrame([("00001", "Ademuz", "Ademuz", "Ademuz", "Ademuz"), ("00002", "Alacant", "Alicante", "Alacant", "Alacant/Alicante"), ("00003", "Alfarb", "Alfarb", None, "Alfarb")], ["cod", *FIELDS])
+    return spark.createDataFrame([("00001", "Norvik", "Norvik", "Norvik", "Norvik"), ("00002", "Belport", "Belporte", "Belport", "Belport/Belporte"), ("00003", "Quimra", "Quimra", None, "Quimra")], ["place_code", *FIELDS])
 
 
 def test_match_methods(spark):
-    asked = spark.createDataFrame([("Ademuz",), ("Alacant/Alicante",), ("Alfarp",), ("Nowhere",)], "name string")
-    aliases = spark.createDataFrame([("Alfarp", "00003"), ("Ademuz", "00003")], "name string, alias_code string")
-    got = {r["name"]: (r["code"], r["method"], r["match_fields"]) for r in crosswalk.match(asked, places(spark), "cod", FIELDS, aliases).collect()}
-    assert got == {"Ademuz": ("00001", "exact_primary", ";".join(FIELDS)), "Alacant/Alicante": ("00002", "exact_variant", "noms_mun"), "Alfarp": ("00003", "alias", "alias_file"), "Nowhere": (None, "unresolved", "")}
+    asked = spark.createDataFrame([("Norvik",), ("Belport/Belporte",), ("Quimrah",), ("Nowhere",)], "name string")
+    aliases = spark.createDataFrame([("Quimrah", "00003"), ("Norvik", "00003")], "name string, alias_code string")
+    got = {r["name"]: (r["code"], r["method"], r["match_fields"]) for r in crosswalk.match(asked, places(spark), "place_code", FIELDS, aliases).collect()}
+    assert got == {"Norvik": ("00001", "exact_primary", ";".join(FIELDS)), "Belport/Belporte": ("00002", "exact_variant", "names_all"), "Quimrah": ("00003", "alias", "alias_file"), "Nowhere": (None, "unresolved", "")}
 
 
 def test_two_codes_are_ambiguous_even_with_an_alias(spark):
-    table = places(spark).union(spark.createDataFrame([("00004", "Alfarb", "x", "y", "z")], ["cod", *FIELDS]))
-    got = crosswalk.match(spark.createDataFrame([("Alfarb",)], "name string"), table, "cod", FIELDS, spark.createDataFrame([("Alfarb", "00003")], "name string, alias_code string")).collect()[0]
+    table = places(spark).union(spark.createDataFrame([("00004", "Quimra", "x", "y", "z")], ["place_code", *FIELDS]))
+    got = crosswalk.match(spark.createDataFrame([("Quimra",)], "name string"), table, "place_code", FIELDS, spark.createDataFrame([("Quimra", "00003")], "name string, alias_code string")).collect()[0]
     assert (got["method"], got["code"]) == ("ambiguous", None)
 
 
 def test_suggestions_and_categories(spark):
-    got = crosswalk.suggest(spark.createDataFrame([("ALACANT / other",)], "name string"), places(spark), "cod", FIELDS).collect()
+    got = crosswalk.suggest(spark.createDataFrame([("BELPORT / other",)], "name string"), places(spark), "place_code", FIELDS).collect()
     assert got[0]["candidates"] == ["00002"]
-    rows = spark.createDataFrame([("Puig, el/x", True, False), ("Pobla, La", False, True), ("Plain", False, False), ("A,elx", False, False)], "n string, s boolean, a boolean")
+    rows = spark.createDataFrame([("Storr, el/x", True, False), ("Torra, La", False, True), ("Plain", False, False), ("A,elx", False, False)], "n string, s boolean, a boolean")
     assert [r[0] for r in rows.select(names.review_categories(F.col("n"), F.col("s"), F.col("a"))).collect()] == [["required_sample", "bilingual", "postposed_article"], ["postposed_article", "alias"], [], []]
     folded = spark.createDataFrame([("STRAßE  ’a / B",)], "n string").select(names.suggestion_key_unicode(F.col("n"))).collect()[0][0]
     assert folded == "strasse 'a/b"

@@ -13,7 +13,7 @@ from ..functions import crs, png
 from ..functions import geometry as g
 from ..operators import gates, rendering, topology
 from ..operators import state as st
-from ..sources import files, gpkg, http, sinks
+from ..sources import files, geojson, gpkg, http, sinks
 from ..streaming import publish
 from .base import query, scratch, table
 from .contracts import SNAPSHOTS, _states
@@ -180,6 +180,33 @@ def crs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.when(off < 1e-4, F.round("x").cast("long")).alias("x"), F.when(off < 1e-4, F.round("y").cast("long")).alias("y"))
 
 
+KRUEGER = """c AS (SELECT f / (2 - f) AS n, sqrt(f * (2 - f)) AS e FROM (SELECT 1 / 298.257222101 AS f)), k AS (SELECT n, e, 0.9996 * 6378137.0 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS r, n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 AS a1,
+    13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 AS a2, 61 * n ** 3 / 240 - 103 * n ** 4 / 140 AS a3 FROM c)"""
+
+
+@query(f"""WITH {POINTS}, {KRUEGER}, d AS (SELECT vec_id, -1.0 + px / 1e6 AS lon, 39.5 + (py - 4800000.0) / 1e6 AS lat FROM points), t AS (SELECT vec_id, lon, lat, radians(lon + 3) AS lam, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t FROM d, k),
+    u AS (SELECT *, atan2(t, cos(lam)) AS xi, asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam))) AS eta FROM t)
+    SELECT vec_id, CAST(floor((500000 + r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta))) / 10) AS BIGINT) AS x,
+        CAST(floor(r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) / 10) AS BIGINT) AS y,
+        CAST(floor(6378137.0 * radians(lon) / 10) AS BIGINT) AS mercator_x, CAST(floor(6378137.0 * atanh(sin(radians(lat))) / 10) AS BIGINT) AS mercator_y FROM u, k""")
+def projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in degrees to zone 30 and to Mercator, in tens of metres; SQL has the series to the third term."""
+    rows = _points(spark, sf_dir).select("vec_id", (F.lit(-1.0) + F.col("px") / 1e6).alias("lon"), (F.lit(39.5) + (F.col("py") - 4800000.0) / 1e6).alias("lat"))
+    at, flat = crs.to_projected(F.col("lon"), F.col("lat")), crs.to_mercator(F.col("lon"), F.col("lat"))
+    tens = lambda v, name: F.floor(v / 10).cast("long").alias(name)
+    return rows.select("vec_id", tens(at["x"], "x"), tens(at["y"], "y"), tens(flat["x"], "mercator_x"), tens(flat["y"], "mercator_y"))
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k, n_name, n_nationkey * 0.25 - 3 AS x, CAST(n_nationkey * 0.25 - 3 AS DOUBLE) AS a, CAST(n_nationkey * 0.25 - 1.5 AS DOUBLE) AS b FROM nation)
+    SELECT k, '{"type":"Feature","id":' || k || ',"bbox":[' || a || ',40.5,' || b || ',41.125],"geometry":{"type":"MultiPolygon","coordinates":[[[[' || a || ',40.5],[' || b || ',40.5],[' || b || ',41.125],[' || a || ',40.5]]]]},"properties":{"name":"' || n_name || '"}}' AS feature FROM n""")
+def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("n_nationkey").cast("double") * 0.25 - 3
+    point = lambda a, b: F.struct(a.alias("x"), F.lit(b).alias("y"))
+    ring = F.array(point(x, 40.5), point(x + 1.5, 40.5), point(x + 1.5, 41.125), point(x, 40.5))
+    feature = geojson.feature(F.col("n_nationkey"), F.array(F.array(ring)), F.to_json(F.struct(F.col("n_name").alias("name"))))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), feature.alias("feature"))
+
+
 @query("""SELECT s_suppkey AS key, 9 + 9 * CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END + 84 * (CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END + CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END) AS bytes, true AS same FROM supplier""")
 def wkb_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical shapes as WKB, and decoded from a GeoPackage blob with it."""

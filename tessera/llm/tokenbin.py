@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -286,3 +286,36 @@ def read(segments: DataFrame) -> DataFrame:
     inside = sizes.select("part", "seq", F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_segments"))
     first = inside.join(earlier, "part").select("part", "seq", (F.col("_parts") + F.col("_segments")).alias("_first"))
     return rows.join(first, ["part", "seq"]).select("doc_id", (F.col("_first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def export(segments: DataFrame, folder: str) -> DataFrame:
+    """Write segments as files `part-seq.pfr` to a folder that driver and executors share as a local path; returns their index.
+
+    Index: name, first (ids of all files before), n_docs, n_ids, bytes, crc32, in order of name. Each file is written beside its place
+    and renamed, so a task that runs again leaves the same file, and an index row stands for a whole file only.
+    """
+    os.makedirs(folder, exist_ok=True)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt = TaskContext.get().taskAttemptId()
+        for batch in batches:
+            for part, seq, n_docs, n_ids, payload in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                name = f"{part:06d}-{seq:06d}.pfr"
+                with open(f"{folder}/.{name}.{attempt}", "wb") as out:
+                    out.write(payload)
+                os.replace(f"{folder}/.{name}.{attempt}", f"{folder}/{name}")
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": [n_docs], "n_ids": [n_ids], "bytes": [len(payload)], "crc32": [zlib.crc32(payload)]})
+
+    rows = cut(segments.select("part", "seq", "n_docs", "n_ids", "payload").mapInArrow(put, "part int, name string, n_docs long, n_ids long, bytes long, crc32 long"), "exported")
+    parts = rows.groupBy("part").agg(F.sum("n_ids").alias("_all"))
+    earlier = parts.select("part", F.coalesce(F.sum("_all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_parts"))
+    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_own", inside).join(earlier, "part").select("name", (F.col("_parts") + F.col("_own")).alias("first"), "n_docs", "n_ids", "bytes", "crc32")
+
+
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    """The segments of a folder of exported files, by any store that Spark reads; read() takes them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfr").load(folder)
+    name = F.regexp_extract("path", r"(\d+-\d+)\.pfr$", 1)
+    head = lambda at: F.conv(F.hex(F.reverse(F.substring(F.col("content"), at + 1, 4))), 16, 10).cast("long")
+    return files.select(F.split_part(name, F.lit("-"), F.lit(1)).cast("int").alias("part"), F.split_part(name, F.lit("-"), F.lit(2)).cast("int").alias("seq"), head(4).alias("n_docs"), head(8).alias("n_ids"), F.col("content").alias("payload"))

@@ -55,6 +55,23 @@ def test_token_files(spark):
     assert tokenbin.read(tokenbin.write(spark.createDataFrame([], "doc_id long, text string"), PATH)).collect() == []
 
 
+def test_segment_files(spark, tmp_path):
+    rows = [(i, f"{t or ''} {i}") for i, t in enumerate(TEXTS * 3)]
+    written = tokenbin.write(spark.createDataFrame(rows, "doc_id long, text string"), PATH, segment=300)
+    index = sorted(tokenbin.export(written, str(tmp_path / "files")).collect())
+    names = sorted(p.name for p in (tmp_path / "files").iterdir() if p.suffix == ".pfr")
+    assert [r["name"] for r in index] == names and len(names) >= 3
+    at = 0
+    for r in index:
+        data = (tmp_path / "files" / r["name"]).read_bytes()
+        assert (r["first"], r["n_ids"], r["n_docs"], r["bytes"], r["crc32"]) == (at, len(tokenbin.segment_ids(data)), len(tokenbin.segment_docs(data)), len(data), zlib.crc32(data))
+        at += r["n_ids"]
+    tokenbin.export(written, str(tmp_path / "files"))
+    loaded = tokenbin.load(spark, str(tmp_path / "files"))
+    assert sorted(tokenbin.read(loaded).collect()) == sorted(tokenbin.read(written).collect())
+    assert loaded.agg({"n_ids": "sum"}).collect()[0][0] == at
+
+
 def brute(rows, length=50):
     order = lambda k: -1 if k is None else k
     first = {}

@@ -65,3 +65,8 @@ def test_web_columns(spark):
     assert heads.select(web.selected_headers(F.col("h"), ["etag", "content-type"])).collect()[0][0] == {"etag": "1, 2"}
     pair = spark.createDataFrame([((200, "image/png", "max-age=3600", "x"), (200, "image/png", None, "y"))], "o struct<status:int,content_type:string,cache_control:string,sha256:string>, e struct<status:int,content_type:string,cache_control:string,sha256:string>")
     assert pair.select(web.response_violations(F.col("o"), F.col("e"))).collect()[0][0] == ["sha256"]
+
+
+def test_fixture_holds_the_contract():
+    tile = png.encode(png.fixture(), bytes(3 * png.COLOURS))
+    assert (png.decode(tile) == png.fixture()).all() and set(np.unique(png.fixture())) == {0, 1, 2, 8, 9, 15}

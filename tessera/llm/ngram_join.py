@@ -47,11 +47,17 @@ def matches(n: Column, percent: int, more: float) -> Column:
 
 
 def shingles(text: Column, size: int) -> Column:
-    """Hashes (64 bits) of a text's distinct shingles in ascending order; of fewer words, one shingle of them all; none without words."""
+    """Hashes (64 bits) of a text's distinct shingles in ascending order; of fewer words, one shingle of them all; none without words.
+
+    A shingle's hash is that of its words' hashes, so each word is hashed once.
+    """
     plain = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(lower_ascii(text))
 
     def hashed(w: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size)))
+        def windows(h: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)]))
+
+        many = let(F.transform(w, lambda x: F.xxhash64(x)), windows)
         return F.when(F.size(w) >= size, F.sort_array(F.array_distinct(many))).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
     return let(words(plain), hashed)

@@ -124,10 +124,11 @@ def stripe_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("stripe", f.stripe(F.col("channel")))
 
 
-@query("""WITH c AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1), e AS (SELECT n_nationkey AS nation, CAST(50 + n_regionkey AS BIGINT) AS expected FROM nation WHERE n_nationkey <> 7)
+@query("""WITH c AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1), e AS (SELECT n_nationkey AS nation, CAST(50 + n_regionkey AS BIGINT) AS expected FROM (SELECT CASE WHEN n_nationkey = 7 THEN 107 ELSE n_nationkey END AS n_nationkey, n_regionkey FROM nation))
     SELECT coalesce(c.nation, e.nation) AS nation, coalesce(n, 0) AS n, coalesce(expected, 0) AS expected, coalesce(n, 0) = coalesce(expected, 0) AS passes FROM c FULL JOIN e ON c.nation = e.nation""")
 def zone_count_vs_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected = table(spark, sf_dir, "nation").where("n_nationkey <> 7").select(F.col("n_nationkey").alias("nation"), (50 + F.col("n_regionkey")).alias("expected"))
+    """Customers of each nation against planned numbers; one plan stands under another nation."""
+    expected = table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") == 7, 107).otherwise(F.col("n_nationkey")).alias("nation"), (50 + F.col("n_regionkey")).alias("expected"))
     return reconcile.against_expected(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")), expected, "nation")
 
 
@@ -188,18 +189,22 @@ def candidate_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", F.array_join("candidates", ",").alias("candidates"))
 
 
-@query("""WITH a AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), b AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 7 <> 0)
+@query("""WITH a AS (SELECT CASE WHEN l_linenumber > 2 THEN -1000 * l_orderkey - l_linenumber ELSE l_orderkey END AS k, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT DISTINCT CASE WHEN o_orderkey % 7 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END AS k FROM orders)
     SELECT * FROM (SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'missing' WHEN b.k IS NULL THEN 'extra' WHEN n > 1 THEN 'duplicate' END AS problem FROM a FULL JOIN b ON a.k = b.k) WHERE problem IS NOT NULL""")
 def bijection_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("k"))
-    right = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("k"))
+    """Lines against orders; lines from the third on and every seventh order stand under other keys, so each problem occurs."""
+    own, other = F.col("l_orderkey"), F.col("o_orderkey")
+    left = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") > 2, -1000 * own - F.col("l_linenumber")).otherwise(own).alias("k"))
+    right = table(spark, sf_dir, "orders").select(F.when(other % 7 == 0, -other - 1).otherwise(other).alias("k"))
     return crosswalk.bijection(left, right, "k")
 
 
-@query("""WITH a AS (SELECT doc_id, CASE WHEN n_chars >= 500 THEN 1 ELSE 0 END AS quality FROM documents WHERE doc_id % 3 <> 1), b AS (SELECT doc_id, quality FROM labels)
+@query("""WITH a AS (SELECT CASE WHEN doc_id % 3 = 1 THEN -doc_id ELSE doc_id END AS doc_id, CASE WHEN n_chars >= 500 THEN 1 ELSE 0 END AS quality FROM documents), b AS (SELECT doc_id, quality FROM labels)
     SELECT * FROM (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'extra' WHEN a.quality IS DISTINCT FROM b.quality THEN 'differs:quality' END AS problem FROM a FULL JOIN b ON a.doc_id = b.doc_id) WHERE problem IS NOT NULL""")
 def review_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    required = table(spark, sf_dir, "documents").where("doc_id % 3 <> 1").select("doc_id", F.when(F.col("n_chars") >= 500, 1).otherwise(0).alias("quality"))
+    """Documents with a rule's quality against labels; every third document stands under another id."""
+    key = F.when(F.col("doc_id") % 3 == 1, -F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id")
+    required = table(spark, sf_dir, "documents").select(key, F.when(F.col("n_chars") >= 500, 1).otherwise(0).alias("quality"))
     return crosswalk.review_problems(required, table(spark, sf_dir, "labels"), "doc_id", ["quality"])
 
 
@@ -240,13 +245,14 @@ def manifest_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.multiset_difference(docs.where("doc_id % 2 = 0").drop("doc_id"), docs.where("doc_id % 2 = 1").drop("doc_id"))
 
 
-@query("""WITH a AS (SELECT doc_id AS path, sha256(text) AS digest FROM documents WHERE doc_id % 5 <> 0), b AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS digest FROM documents WHERE doc_id % 11 <> 0)
+@query("""WITH a AS (SELECT CASE WHEN doc_id % 5 = 0 THEN -doc_id - 1 ELSE doc_id END AS path, sha256(text) AS digest FROM documents), b AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 1000000000 + doc_id ELSE doc_id END AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS digest FROM documents)
     SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'extra' WHEN a.digest IS DISTINCT FROM b.digest THEN 'changed' ELSE 'same' END AS status FROM a FULL JOIN b ON a.path = b.path""")
 def inventory_vs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    a = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("digest"))
-    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    b = docs.where("doc_id % 11 <> 0").select(F.col("doc_id").alias("path"), F.sha2(text, 256).alias("digest"))
+    """Documents against themselves with other paths on either side and some changed texts."""
+    docs, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    a = docs.select(F.when(k % 5 == 0, -k - 1).otherwise(k).alias("path"), F.sha2("text", 256).alias("digest"))
+    text = F.when(k % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    b = docs.select(F.when(k % 11 == 0, 1_000_000_000 + k).otherwise(k).alias("path"), F.sha2(text, 256).alias("digest"))
     return reconcile.inventory(a, b, "path", "digest")
 
 

@@ -97,20 +97,22 @@ def positional_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.positional(stored, expected, "n_regionkey", "items", ["n_nationkey", "n_name"])
 
 
-@query("""WITH a AS (SELECT page_id, html FROM pages WHERE page_id % 10 <> 4), b AS (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN html || ' ' ELSE html END AS html FROM pages WHERE page_id % 10 <> 5)
+@query("""WITH a AS (SELECT CASE WHEN page_id % 10 = 4 THEN -page_id ELSE page_id END AS page_id, html FROM pages), b AS (SELECT CASE WHEN page_id % 10 = 5 THEN -page_id ELSE page_id END AS page_id, CASE WHEN page_id % 9 = 0 THEN html || ' ' ELSE html END AS html FROM pages)
     SELECT coalesce(a.page_id, b.page_id) AS page_id, CASE WHEN b.page_id IS NULL THEN 'missing' WHEN a.page_id IS NULL THEN 'extra' WHEN a.html <> b.html THEN 'changed' ELSE 'same' END AS status, coalesce(strlen(a.html), -1) AS stored_bytes, coalesce(strlen(b.html), -1) AS fresh_bytes FROM a FULL JOIN b ON a.page_id = b.page_id""")
 def artifact_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as stored artifacts against regenerated ones; missing, extra and changed ones are planted."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
-    fresh = pages.where("page_id % 10 <> 5").withColumn("html", F.when(F.col("page_id") % 9 == 0, F.concat("html", F.lit(" "))).otherwise(F.col("html")))
-    return reconcile.artifacts(pages.where("page_id % 10 <> 4"), fresh, "page_id", "html")
+    """Pages as stored artifacts against regenerated ones; some stand under other names on one side, some are changed."""
+    pages, k = table(spark, sf_dir, "pages"), F.col("page_id")
+    name = lambda rest: F.when(k % 10 == rest, -k).otherwise(k).alias("page_id")
+    fresh = pages.select(name(5), F.when(k % 9 == 0, F.concat("html", F.lit(" "))).otherwise(F.col("html")).alias("html"))
+    return reconcile.artifacts(pages.select(name(4), "html"), fresh, "page_id", "html")
 
 
 @query("""SELECT * FROM (SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'config:missing' WHEN doc_id % 13 = 0 THEN 'config:lang' WHEN doc_id % 17 = 0 THEN 'snapshot:sha256' END AS problem FROM documents) WHERE problem IS NOT NULL""")
 def pinned_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest of documents against a configuration and a snapshot that depart from it in planted rows."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), "lang", "n_chars")
-    config = rows.where("doc_id % 19 <> 0").withColumn("lang", F.when(F.col("doc_id") % 13 == 0, "xx").otherwise(F.col("lang")))
+    config = rows.withColumn("lang", F.when(F.col("doc_id") % 13 == 0, "xx").otherwise(F.col("lang")))
+    config = config.withColumn("doc_id", F.when(F.col("doc_id") % 19 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id")))
     snapshot = rows.withColumn("sha256", F.when(F.col("doc_id") % 17 == 0, "").otherwise(F.col("sha256")))
     return reconcile.pinned(rows, {"config": config, "snapshot": snapshot}, "doc_id", ["sha256", "lang", "n_chars"])
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +77,31 @@ def published_inventory(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("z").agg(*bounds).join(digests, "z")
 
 
+def export(tiles: DataFrame, folder: str) -> DataFrame:
+    """Write tiles as `z/x/y.png` below a folder that driver and executors share as a local path; returns z, x, y, sha256, bytes of what was written.
+
+    Each file is written beside its place and renamed, so a task that runs again leaves the same files.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt = TaskContext.get().taskAttemptId()
+        for batch in batches:
+            out = []
+            for z, x, y, content in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                path = f"{folder}/{z}/{x}/{y}.png"
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(f"{path}.{attempt}", "wb") as held:
+                    held.write(content)
+                os.replace(f"{path}.{attempt}", path)
+                out.append((z, x, y, hashlib.sha256(content).hexdigest(), len(content)))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["z", "x", "y", "sha256", "bytes"])
+
+    slim = tiles.select(F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "content")
+    return slim.mapInArrow(put, "z int, x long, y long, sha256 string, bytes long")
+
+
 def with_default(requests: DataFrame, tiles: DataFrame, default: Column) -> DataFrame:
     """requests (z, x, y, ...) with content: the tile's, or the default where there is none, and covered."""
     found = requests.join(tiles.select("z", "x", "y", "content"), ["z", "x", "y"], "left")

@@ -70,3 +70,17 @@ def test_web_columns(spark):
 def test_fixture_holds_the_contract():
     tile = png.encode(png.fixture(), bytes(3 * png.COLOURS))
     assert (png.decode(tile) == png.fixture()).all() and set(np.unique(png.fixture())) == {0, 1, 2, 8, 9, 15}
+
+
+def test_tiles_are_exported_as_files(spark, tmp_path):
+    import hashlib
+
+    rows = [(6, x, y, bytes([x, y]) * 9) for x in range(3) for y in range(4)]
+    tiles = spark.createDataFrame(rows, "z int, x long, y long, content binary").repartition(3)
+    for _ in range(2):
+        written = rendering.export(tiles, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in written) == [(z, x, y, hashlib.sha256(c).hexdigest(), 18) for z, x, y, c in rows]
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.*")) == sorted(f"{z}/{x}/{y}.png" for z, x, y, _ in rows)
+    summary = rendering.published_inventory(spark.createDataFrame(written)).collect()[0]
+    lines = "".join(f"{hashlib.sha256(c).hexdigest()}  {z}/{x}/{y}.png\n" for z, x, y, c in rows)
+    assert summary["tiles"] == 12 and summary["bytes"] == 12 * 18 and summary["sha256"] == hashlib.sha256(lines.encode()).hexdigest()

@@ -4,7 +4,8 @@ A byte goes if a 50-byte string that covers it also starts in a document with a
 minimizer: the least hash among the GRAM-byte grams inside, the leftmost of equals. So each string is held by one anchor, a gram
 that is the minimizer of some string, and equal strings have equal anchors:
 
-1. Anchors (about one in 18 bytes) are dealt by hash; those whose gram is in one document only are dropped.
+1. Anchors (about one in 18 bytes) are dealt by hash; those whose gram is in one document only are dropped. Grams that are common in
+   the texts of a task are known not to be, and only two of their anchors a task are dealt.
 2. Around each anchor that is left its context is cut out: the strings that it is the minimizer of, which are neighbours.
 3. Equal contexts are folded to one with their least document before they are shuffled, so a passage that very many documents
    share is some rows. Folded ones are range-partitioned by the anchor's leading bytes with sampled splitters. In each range all
@@ -32,6 +33,8 @@ STRINGS = LENGTH - GRAM + 1
 PIECE = 1 << 19
 #: Contexts whose suffixes are sorted at once, or those of one gram.
 KINDS = 20_000
+#: A gram that is more often than this among a million anchors at hand, in several texts, is flagged before it is dealt.
+COMMON = 16
 #: Contexts that are folded at once before they are shuffled.
 KINDS_FOLDED = 200_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -195,8 +198,44 @@ def _back(data: bytes, at: int, n: int, kind: str) -> np.ndarray:
     return np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).reshape(-1)
 
 
+def _by_text(t64: np.ndarray, place: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Flagged places dealt by text: bucket and payload (the texts' hashes, their numbers of places, the places)."""
+    to = (t64.view(np.uint64) >> np.uint64(16)) % np.uint64(buckets)
+    order = np.argsort(to, kind="stable")
+    stops = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
+    names, out = [], []
+    for b, (x, y) in enumerate(zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)):
+        if x < y:
+            own = order[x:y][np.argsort(t64[order[x:y]], kind="stable")]
+            new = np.flatnonzero(np.concatenate([[True], t64[own][1:] != t64[own][:-1]]))
+            counts = np.diff(np.append(new, y - x)).astype(np.uint32)
+            names.append(b)
+            out.append(np.array([len(new), y - x], np.uint32).tobytes() + _turned(t64[own][new]) + _turned(counts) + _turned(place[own]))
+    return names, out
+
+
+def _common(key: np.ndarray, t64: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of anchors, those whose gram is here more than COMMON times and in several texts, and two of each such gram, of different texts."""
+    order = np.argsort(key, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    sizes = np.diff(np.append(heads, len(order)))
+    often = np.flatnonzero(sizes > COMMON)
+    rows = order[np.repeat(heads[often], sizes[often]) + np.arange(sizes[often].sum()) - np.repeat(np.cumsum(sizes[often]) - sizes[often], sizes[often])]
+    if not len(rows):
+        return rows, rows
+    rows = rows[np.lexsort((t64[rows], key[rows]))]
+    new = np.flatnonzero(np.concatenate([[True], key[rows][1:] != key[rows][:-1]]))
+    last = np.append(new[1:] - 1, len(rows) - 1)
+    several = t64[rows[new]] != t64[rows[last]]
+    return rows[np.repeat(several, last - new + 1)], np.concatenate([rows[new[several]], rows[last[several]]])
+
+
 def _deal(buckets: int):
-    """Anchors of texts (t64, text), dealt by gram hash: for each bucket the texts' hashes, their numbers of anchors, the grams and places."""
+    """Anchors of texts (t64, text), dealt by gram hash: for each bucket the texts' hashes, their numbers of anchors, the grams and places.
+
+    A gram that is common among the anchors at hand is flagged here: two of its anchors stand for it in its bucket, so that
+    is bounded by the number of tasks, and all go on to their texts' buckets, told by -1 - bucket.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -205,9 +244,17 @@ def _deal(buckets: int):
         def flush() -> pa.RecordBatch:
             t64, place, h = (np.concatenate(x) for x in zip(*held, strict=True))
             bucket = (h >> np.uint64(32)) % np.uint64(buckets)
+            names, out = [], []
+            sure, marks = _common((bucket << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)), t64)
+            if len(sure):
+                flagged, payloads = _by_text(t64[sure], place[sure], buckets)
+                names, out = [-1 - b for b in flagged], payloads
+                left = np.ones(len(t64), bool)
+                left[sure] = False
+                left[marks] = True
+                t64, place, h, bucket = t64[left], place[left], h[left], bucket[left]
             order = np.argsort(bucket, kind="stable")
             stops = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            names, out = [], []
             for b, (x, y) in enumerate(zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)):
                 if x < y:
                     own = order[x:y]
@@ -240,6 +287,9 @@ def _flag(buckets: int):
         keys, hashes, places = [], [], []
         for batch in batches:
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket < 0:
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1 - bucket], pa.int32()), "payload": pa.array([data], pa.binary())})
+                    continue
                 docs, n = (int(x) for x in np.frombuffer(data, np.uint32, 2))
                 hashes.append(np.repeat(_back(data, 8, docs, "<i8"), _back(data, 8 + 8 * docs, docs, "<u4")))
                 keys.append(_back(data, 8 + 12 * docs, n, "<u4").astype(np.uint64) | np.uint64(bucket << 32))
@@ -254,18 +304,7 @@ def _flag(buckets: int):
         kept = order[np.repeat(several, np.diff(np.append(heads, len(order))))]
         if not len(kept):
             return
-        t64, place = t64[kept], place[kept]
-        to = (t64.view(np.uint64) >> np.uint64(16)) % np.uint64(buckets)
-        order = np.argsort(to, kind="stable")
-        stops = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
-        names, out = [], []
-        for b, (x, y) in enumerate(zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)):
-            if x < y:
-                own = order[x:y][np.argsort(t64[order[x:y]], kind="stable")]
-                new = np.flatnonzero(np.concatenate([[True], t64[own][1:] != t64[own][:-1]]))
-                counts = np.diff(np.append(new, y - x)).astype(np.uint32)
-                names.append(b)
-                out.append(np.array([len(new), y - x], np.uint32).tobytes() + _turned(t64[own][new]) + _turned(counts) + _turned(place[own]))
+        names, out = _by_text(t64[kept], place[kept], buckets)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(names, pa.int32()), "payload": pa.array(out, pa.binary())})
 
     return flag

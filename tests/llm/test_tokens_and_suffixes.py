@@ -153,3 +153,29 @@ def test_multikey_runs():
     for r, p in zip(run.tolist(), places.tolist(), strict=True):
         assert by.setdefault(raw[p : p + 50], r) == r
     assert len(set(by.values())) == len(by)
+
+
+def test_common_grams_are_flagged_before_they_are_dealt(monkeypatch):
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(60, 300))) + (passage[rng.randint(0, 200) :] if i % 3 else "") for i in range(90)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 30), pa.int64()), pa.array(texts[i : i + 30])], names=["t64", "text"]) for i in (0, 30, 60)]
+
+    def places(common):
+        monkeypatch.setattr(suffix_dedup, "COMMON", common)
+        dealt = [b for part in batches for b in suffix_dedup._deal(4)(iter([part]))]
+        rows = [(k, v) for b in dealt for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        sizes = [int(np.frombuffer(v, np.uint32, 2)[1]) for k, v in rows if k >= 0]
+        flags = []
+        for own in range(4):  # a task has the rows of its key, whatever it is
+            taken = [pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int32()), "payload": pa.array([v], pa.binary())}) for k, v in rows if k % 4 == own]
+            flags += [(k, v) for b in suffix_dedup._flag(4)(iter(taken)) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        out = {}
+        for own in range(4):
+            taken = [pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int32()), "payload": pa.array([v], pa.binary())}) for k, v in flags if k == own]
+            out |= {r["t64"]: r["at"] for b in suffix_dedup._gather(iter(taken)) for r in b.to_pylist()}
+        return sum(sizes), out
+
+    few, own = places(8)
+    many, plain = places(10**9)
+    assert own == plain and len(own) >= 60 and few < 0.7 * many

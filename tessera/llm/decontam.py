@@ -5,6 +5,8 @@ DataFrame functions alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +15,14 @@ from .common import cut, let, words
 HIT = "doc_id bigint, item_id bigint, start_word int, n_words int, distance int, similarity double"
 
 
-def simhash(own: Column) -> Column:
+def md5_hash(word: Column) -> Column:
+    """The first 64 bits of a word's MD5."""
+    return F.conv(F.substring(F.md5(word), 1, 16), 16, -10).cast("long")
+
+
+def simhash(own: Column, word_hash: Callable[[Column], Column] = F.xxhash64) -> Column:
     """64-bit fingerprint of an array of words: bit i is 1 if more than half of the words' hashes have it."""
-    hashes = F.transform(own, lambda w: F.xxhash64(w))
+    hashes = F.transform(own, lambda w: word_hash(w))
 
     def bits(h: Column) -> Column:
         def bit(i: Column) -> Column:
@@ -72,16 +79,18 @@ def weighted_jaccard(a: Column, b: Column, weights: Column, other: Column) -> Co
     return F.when(~F.arrays_overlap(a, b), 0.0).when(single(a) & single(b), sets).otherwise(let(F.transform(F.array_union(a, b), tally), ratio))
 
 
-def find(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24, slack: int = 2, key: str = "doc_id", item: str = "item_id", text: str = "text", broadcast_shingles: int = 1_000_000, windows_a_part: int = 2000) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24, slack: int = 2, key: str = "doc_id", item: str = "item_id", text: str = "text", broadcast_shingles: int = 1_000_000, windows_a_part: int = 2000, word_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """Windows of documents that are near a benchmark item: a row (HIT) for each document and item, with the best window.
 
     Texts are lower-cased and cut at white space; punctuation stays. An item of n words is held against windows of n words:
     those at which a shared 5-word shingle (the whole item if it is shorter) lines up, and up to `slack` words to either side, for
     words put in or left out; where the text ends a window has fewer words. A window without a shared shingle has similarity 0. Its fingerprint is looked
     up among those of the items of n words by blocks, which finds all within the radius; the similarity of these pairs is then
-    computed exactly: weighted Jaccard of shingle counts, a shingle's weight being ln(1 + items / items that have it). The radius is
+    computed exactly (to nine digits): weighted Jaccard of shingle counts, a shingle's weight being ln(1 + items / items that have it). The radius is
     wide, so that it loses next to no window of that similarity (see the README): pairs have a shingle to share, few are far.
 
+    word_hash: 64 bits of a word, for the fingerprints.
+
     Null and empty texts and items have no hit. Rows that share a key, null too, are one document, whose windows come from all of
     them. Rows that share an item's id, null too, are one item with several texts, each of which is looked for and weighs as an
     item of its own; rows with the same words are one. The items' shingles are broadcast if there are at most broadcast_shingles, else joined by
@@ -90,7 +99,7 @@ def find(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0
     spark = docs.sparkSession
     own = items.select(F.col(item).alias("item_id"), words(F.lower(text)).alias("iw")).where(F.size("iw") > 0).dropDuplicates(["item_id", "iw"]).withColumn("row", F.monotonically_increasing_id())
     own = own.withColumn("n", F.size("iw")).withColumn("size", F.least(F.lit(size), F.col("n")))
-    listed = cut(own.withColumn("grams", grams(F.col("iw"), F.col("size"))).withColumn("print", simhash(F.col("iw"))), "items")
+    listed = cut(own.withColumn("grams", grams(F.col("iw"), F.col("size"))).withColumn("print", simhash(F.col("iw"), word_hash)), "items")
     n_items = listed.count()
     places = cut(listed.select("row", "n", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("size")), lambda i: F.xxhash64(F.slice("iw", i + 1, F.col("size"))))).alias("offset", "h")), "places")
     sizes = [r[0] for r in places.select("size").distinct().collect()]
@@ -111,7 +120,7 @@ def find(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0
     near = F.explode(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.transform(F.sequence(F.lit(-slack), F.lit(slack)), lambda d: F.struct(s["n"].alias("n"), F.greatest(F.lit(0), s["start"] + d).alias("start")))))))
     joined = slim.alias("d").join(starts.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))).select("d.doc_id", words(F.col("text")).alias("w"), "starts")
     spots = joined.select("doc_id", "w", near.alias("at")).select("doc_id", F.col("at.n").alias("n"), F.col("at.start").alias("start"), F.slice("w", F.col("at.start") + 1, F.col("at.n")).alias("ww")).where(F.size("ww") > 0)
-    windows = cut(spots.withColumn("window", F.monotonically_increasing_id()).withColumn("print", simhash(F.col("ww"))), "windows")
+    windows = cut(spots.withColumn("window", F.monotonically_increasing_id()).withColumn("print", simhash(F.col("ww"), word_hash)), "windows")
 
     left = windows.select("window", "n", "print", F.explode(blocks(F.col("print"), radius)).alias("block"))
     right = listed.select("row", "n", "print", F.explode(blocks(F.col("print"), radius)).alias("block"))
@@ -127,7 +136,8 @@ def find(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0
     weights = seen.join(rarity, "g").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("g", F.log(1 + n_items / F.col("df"))))).alias("weights"))
     sides = listed.select("row", "item_id", "size", "grams").join(weights, "row")
     alike = weighted_jaccard(grams(F.col("ww"), F.col("size")), F.col("grams"), F.col("weights"), F.log(F.lit(1.0 + n_items)))
-    scored = met.join(sides, "row").withColumn("similarity", alike).where(F.col("similarity") >= similarity - 1e-9)  # sums of weights are rounded
+    # sums of weights depend on their order in the last digits
+    scored = met.join(sides, "row").withColumn("similarity", F.round(alike, 9)).where(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("back"), (-F.col("distance")).alias("near"), F.col("n"))).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.back")).cast("int").alias("start_word"), F.col("best.n").cast("int").alias("n_words"), (-F.col("best.near")).cast("int").alias("distance"), F.col("best.similarity").alias("similarity"))
 

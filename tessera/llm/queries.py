@@ -34,7 +34,7 @@ def op4_language_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), word_hash=decontam.md5_hash)
 
 
 def op6_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +174,42 @@ SQL: dict[str, str] = {
         )
         SELECT *, NOT base_failed AND char_distance <= 0.3 AND word_distance <= 0.45 AS kept FROM judged
     """,
+    "op5_simhash_windows": r"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS dr, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), items AS (
+            SELECT row_number() OVER () AS r, item_id, iw, len(iw) AS n, least(5, len(iw)) AS size
+            FROM (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS iw FROM benchmark) WHERE len(iw) > 0
+        ), shingled AS (
+            SELECT *, list_transform(range(1, CAST(n - size + 2 AS BIGINT)), lambda i: array_to_string(iw[i:i + size - 1], ' ')) AS grams FROM items
+        ), places AS (
+            SELECT DISTINCT size, n, unnest(grams) AS g, unnest(range(len(grams))) AS o FROM shingled
+        ), parts AS (
+            SELECT doc_id, size, i - 1 AS p, array_to_string(w[i:i + size - 1], ' ') AS g FROM (SELECT doc_id, w, size, unnest(range(1, CAST(len(w) - size + 2 AS BIGINT))) AS i FROM texts CROSS JOIN (SELECT DISTINCT size FROM items) WHERE len(w) >= size)
+        ), starts AS (
+            SELECT DISTINCT doc_id, n, greatest(0, p - o + d) AS start FROM parts JOIN places USING (size, g) CROSS JOIN range(-2, 3) x(d)
+        ), windows AS (
+            SELECT row_number() OVER () AS k, t.doc_id, s.n, s.start, t.w[s.start + 1:s.start + s.n] AS ww FROM texts t JOIN starts s ON t.doc_id IS NOT DISTINCT FROM s.doc_id WHERE len(t.w) > s.start
+        ), prints AS (
+            SELECT 'w' AS side, k AS id, list_transform(ww, lambda x: CAST('0x' || substr(md5(x), 1, 16) AS UBIGINT)) AS h FROM windows UNION ALL SELECT 'i', r, list_transform(iw, lambda x: CAST('0x' || substr(md5(x), 1, 16) AS UBIGINT)) FROM items
+        ), bits AS (
+            SELECT side, id, list_transform(range(64), lambda b: 2 * list_sum(list_transform(h, lambda x: CAST((x >> CAST(b AS UBIGINT)) & 1 AS BIGINT))) > len(h)) AS bits FROM prints
+        ), met AS (
+            SELECT k, r, doc_id, item_id, start, v.n, size, ww, grams, CAST(list_sum(list_transform(range(1, 65), lambda b: CASE WHEN a.bits[b] <> c.bits[b] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+            FROM windows v JOIN shingled i ON v.n = i.n JOIN bits a ON a.side = 'w' AND a.id = v.k JOIN bits c ON c.side = 'i' AND c.id = i.r
+        ), seen AS (
+            SELECT g, count(*) AS df FROM (SELECT DISTINCT r, unnest(grams) AS g FROM shingled) GROUP BY g
+        ), sides AS (
+            SELECT k, r, g, count(*) FILTER (side = 'w') AS x, count(*) FILTER (side = 'i') AS y
+            FROM (SELECT k, r, 'w' AS side, unnest(list_transform(range(1, CAST(greatest(1, len(ww) - size + 2) AS BIGINT)), lambda i: array_to_string(ww[i:i + size - 1], ' '))) AS g FROM met WHERE distance <= 24 UNION ALL SELECT k, r, 'i', unnest(grams) FROM met WHERE distance <= 24) GROUP BY ALL
+        ), alike AS (
+            SELECT k, r, round(sum(least(x, y) * f) / sum(greatest(x, y) * f), 9) AS similarity
+            FROM (SELECT s.*, ln(1 + (SELECT count(*) FROM items) / CASE WHEN y > 0 THEN df ELSE 1 END) AS f FROM sides s LEFT JOIN seen USING (g)) GROUP BY k, r
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start, distance, n DESC) AS place FROM alike JOIN met USING (k, r) WHERE similarity >= 0.8
+        )
+        SELECT doc_id, item_id, CAST(start AS INTEGER) AS start_word, CAST(n AS INTEGER) AS n_words, distance, similarity FROM ranked WHERE place = 1
+    """,
     "op8_suffix_ranges": r"""
         WITH docs AS (
             SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775807) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents

@@ -101,13 +101,20 @@ def pack(
         kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
         return spark.createDataFrame([], f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, bucket int, boundary long, batch long, place int{kept}")
     parts = max(32, -(-sum(n for _, n in histogram) // rows_a_part))
-    bucket = sum((F.when(F.col("n_tokens") > e, 1).otherwise(0) for e in edges[:-1]), F.lit(0)).cast("int")
-    # what is kept is read again from docs, and not written with the lengths
-    rows = docs.select(F.col(key).alias("_key"), size.alias("n_tokens"), *[F.col(c).alias(f"_keep_{c}") for c in keep]) if keep else slim
-    dealt = rows.withColumn("bucket", bucket).withColumn("_part", part_of(F.col("_key"), F.col("n_tokens"), parts))
+
+    def placed(n: Column, of: Column) -> Column:
+        bucket = sum((F.when(n > e, 1).otherwise(0) for e in edges[:-1]), F.lit(0)).cast("int")
+        return F.struct(n.alias("n_tokens"), bucket.alias("bucket"), part_of(of, n, parts).alias("_part"))
+
+    counted = slim.select(placed(F.col("n_tokens"), F.col("_key")).alias("p"), "_key").select("_key", "p.*")
+    dealt = counted
+    if keep:
+        # what is kept is read again from docs, and not written with the lengths; a generator, so that lengths are computed once
+        kept = [F.col(c).alias(f"_keep_{c}") for c in keep]
+        dealt = docs.select(F.col(key).alias("_key"), F.explode(F.transform(F.array(size), lambda n: placed(n, F.col(key)))).alias("p"), *kept).select("_key", "p.*", *[f"_keep_{c}" for c in keep])
     dealt = dealt.withColumn("boundary", F.element_at(F.array(*[F.lit(e).cast("long") for e in edges]), F.col("bucket") + 1))
     before = Window.partitionBy("bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    first = slim.withColumn("bucket", bucket).withColumn("_part", part_of(F.col("_key"), F.col("n_tokens"), parts)).groupBy("bucket", "_part").count().select("bucket", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    first = counted.groupBy("bucket", "_part").count().select("bucket", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
     within = Window.partitionBy("bucket", "_part").orderBy("_key", "n_tokens")
     ranked = dealt.join(first, ["bucket", "_part"]).withColumn("_rank", F.col("_first") + F.row_number().over(within) - 1)
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("boundary"))).cast("long")

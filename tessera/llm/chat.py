@@ -23,7 +23,7 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
-def expand(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def expand(turns: DataFrame, turns_a_part: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Format conversations (conv_id, turn, role, text) and explode every assistant turn into its own example.
 
     Returns (transcripts, examples). transcripts holds each formatted turn once: conv_id, place (from 0), start (its first
@@ -33,16 +33,22 @@ def expand(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     with the input, not with the square of a conversation's turns; texts() writes them out.
 
     Turns are in order of turn, then role and text; a null turn comes first, null roles and texts are empty. Turns of a null
-    conv_id are one conversation. A line end in a role is written as backslash and n.
+    conv_id are one conversation. A line end in a role is written as backslash and n. Turns are placed by parts of turns_a_part
+    turn numbers, so a long conversation is the work of many tasks.
     """
     role = F.replace(escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit("\\n"))
     formatted = F.concat(F.lit(START), role, F.lit("\n"), escape(F.coalesce("text", F.lit(""))), F.lit(END + "\n"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = turns.select("conv_id", "turn", "role", "text", formatted.alias("formatted"), (F.length(role) + len(START) + 1).alias("_head"))
-    placed = rows.select(
-        "conv_id", (F.row_number().over(order) - 1).cast("long").alias("place"),
-        F.coalesce(F.sum(F.length("formatted")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("start"),
-        "formatted", "role", "_head",
+    # a null conversation is one of its own, in two columns that joins and windows take as they are
+    own = [F.coalesce("conv_id", F.lit(0)).alias("_conv"), F.col("conv_id").isNull().alias("_none"), F.coalesce(F.floor(F.col("turn") / turns_a_part), F.lit(-(1 << 62))).alias("_part")]
+    rows = turns.select("conv_id", "turn", "role", "text", formatted.alias("formatted"), (F.length(role) + len(START) + 1).alias("_head"), *own)
+    # sums by part of the turn numbers, then over parts: no conversation is ordered in one task
+    parts = rows.groupBy("_conv", "_none", "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length("formatted").cast("long")).alias("_size"))
+    before = Window.partitionBy("_conv", "_none").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = parts.select("_conv", "_none", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_place"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    order = Window.partitionBy("_conv", "_none", "_part").orderBy("turn", "role", "text")
+    inside = F.coalesce(F.sum(F.length("formatted")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(first, ["_conv", "_none", "_part"]).select(
+        "conv_id", (F.col("_place") + F.row_number().over(order) - 1).cast("long").alias("place"), (F.col("_start") + inside).cast("long").alias("start"), "formatted", "role", "_head",
     )
     end = F.col("start") + F.length("formatted")
     examples = placed.where(F.col("role") == "assistant").select(

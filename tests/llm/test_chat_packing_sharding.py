@@ -35,6 +35,9 @@ def test_chat_reads_back(spark):
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
         assert got[c]["loss_chars"] == sum(map(len, losses)) and got[c]["loss_sha256"] == hashlib.sha256("".join(losses).encode()).hexdigest()
     assert chat.read_back(*chat.expand(df.where("false"))).collect() == []
+    # in parts of some turns, negative ones too
+    moved = df.withColumn("turn", F.col("turn") - 3)
+    assert sorted(map(str, chat.read_back(*chat.expand(moved, turns_a_part=2)).collect())) == sorted(map(str, got.values()))
 
 
 def test_chat_examples_have_all_turns_before(spark):
